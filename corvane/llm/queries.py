@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, packing, quality, secrets, simhash
+from . import linededup, mixing, packing, quality, secrets, simhash, warc
 from .workspace import read_table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(read_table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -49,9 +54,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_mixing, op6_packing, op7_linededup, op9_quality, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op4_mixing, op6_packing, op7_linededup, op9_quality, op10_secrets)}
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 ORACLES: dict[str, str] = {
+    "op1_warc": """
+WITH facts AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+owners AS (
+  SELECT payload_digest, max(page_id) AS owner FROM facts WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, f.payload_digest,
+       CASE WHEN owner > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN owner > page_id THEN owner END AS refers_to
+FROM facts f LEFT JOIN owners o ON f.payload_digest = o.payload_digest AND f.payload_bytes >= 1000
+""",
     "op7_linededup": f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
