@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, mixing, packing, quality, secrets, simhash, toxicity, warc
+from . import embeddings, langid, linededup, mixing, packing, quality, secrets, simhash, toxicity, warc
 from .workspace import read_table
 
 
@@ -50,6 +50,10 @@ def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = quality.trusted_ids(read_table(spark, sf_dir, "labels"))
     judged = quality.quality_verdicts(read_table(spark, sf_dir, "documents"), trusted)
@@ -65,7 +69,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_ALL = (op1_warc, op2_simhash, op3_toxicity, op4_mixing, op5_langid, op6_packing, op7_linededup, op9_quality, op10_secrets)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # which imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+_ALL = (op1_warc, op2_simhash, op3_toxicity, op4_mixing, op5_langid, op6_packing, op7_linededup, op8_embeddings, op9_quality, op10_secrets, pipeline)
 QUERIES = {f.__name__: f for f in _ALL}
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 ORACLES: dict[str, str] = {
