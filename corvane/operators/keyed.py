@@ -41,7 +41,7 @@ def upsert(table: DataFrame, changes: DataFrame, key: str, order: str) -> DataFr
 
 def erase(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The table without the given keys; keys that it lacks are ignored."""
-    return table.join(keys.select(key).distinct(), key, "left_anti")
+    return table.join(keys.select(key).distinct(), key, "left_anti").select(*table.columns)
 
 
 def erase_values(table: DataFrame, key: str, values: Iterable) -> DataFrame:

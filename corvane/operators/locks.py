@@ -71,7 +71,8 @@ def deadlocked(edges: DataFrame) -> DataFrame:
 
 def without_transactions(edges: DataFrame, gone: DataFrame) -> DataFrame:
     """The graph without the transactions in ``gone`` (txn): no edge from or to them."""
-    return edges.join(gone.select(F.col("txn").alias("waiter")), "waiter", "left_anti").join(gone.select(F.col("txn").alias("owner")), "owner", "left_anti")
+    left = edges.join(gone.select(F.col("txn").alias("waiter")), "waiter", "left_anti")
+    return left.join(gone.select(F.col("txn").alias("owner")), "owner", "left_anti").select("waiter", "owner")
 
 
 def cache_queues(accesses: DataFrame) -> DataFrame:

@@ -1,0 +1,40 @@
+"""Every registered query of the core against DuckDB, on the smallest tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from corvane.plans.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def sql():
+    con = duckdb.connect()
+    for name in os.listdir(SF):
+        con.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM '{SF}/{name}'")
+    return con
+
+
+def canonical(rows, columns, order):
+    at = [columns.index(c) for c in order]
+    plain = lambda v: float(v) if type(v).__name__ in ("Decimal", "float") else v
+    return sorted(tuple(str(plain(r[i])) for i in at) for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query(spark, sql, name):
+    mine = QUERIES[name](spark, SF)
+    theirs = sql.execute(ORACLES[name])
+    columns = [d[0] for d in theirs.description]
+    assert sorted(columns) == sorted(mine.columns)
+    assert canonical([tuple(r) for r in mine.collect()], mine.columns, sorted(columns)) == canonical(theirs.fetchall(), columns, sorted(columns))
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0
