@@ -24,9 +24,9 @@ from .components import connected_components
 from .workspace import Workspace
 
 COSINE = 0.9
-TABLES = 6
-PROBES = 12
-CELL = 0.14  # length of a unit of the lattice, for vectors of 64 components
+TABLES = 8
+PROBES = 16
+CELL = 0.15  # length of a unit of the lattice, for vectors of 64 components
 SIGN_BITS = 20  # most differing bits of 64; vectors at cosine 0.9 differ in 9 on average
 SEED = 811
 

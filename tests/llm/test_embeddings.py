@@ -64,7 +64,7 @@ def test_recall_at_the_border(cosine):
     z -= (z * a).sum(axis=1, keepdims=True) * a
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     (bits_a, own, _), (bits_b, _, visited) = embeddings.codes(a), embeddings.codes(cosine * a + math.sqrt(1 - cosine**2) * z)
-    met = (own[:, :, None] == visited[:, None, :]).any(axis=(1, 2)) & (np.bitwise_count(bits_a ^ bits_b) <= embeddings.SIGN_BITS)
+    met = (own[:, :, None] == visited[:, None, :]).any(axis=(1, 2)) & (np.bitwise_count((bits_a ^ bits_b).view(np.uint64)) <= embeddings.SIGN_BITS)
     assert met.mean() > 0.9
 
 
