@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WS = r"\x20\x09-\x0D"
+BLANKS = " \t\n\x0b\x0c\r"  # the same characters
 BUCKETS = 65536  # rows of the ratio table, whatever the corpus holds
 ORDERS = (1, 2)
 UNIT = 1e-4  # nats; ratios are rounded to it, so that sums are exact integers
-PRIOR = 8  # prior n-grams of the trusted multinomial, for each bucket
+PRIOR = 16  # prior n-grams of either multinomial, for each bucket
 THRESHOLD = -0.1  # nats an n-gram
 TRUSTED_LIMIT = 20_000  # labels used for the trusted multinomial, by hash order
 MIN_WORDS = 50
@@ -29,7 +30,12 @@ MAX_REPEAT_PERCENT = 50
 
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{WS}]+"), lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
+    return F.when(inner != "", F.split(inner, f"[{WS}]+")).otherwise(F.array().cast("array<string>"))
+
+
+def word_hashes(text: Column) -> Column:
+    return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
 
 def _let(value: Column, body) -> Column:
@@ -37,12 +43,14 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _rolled(words: Column, order: int) -> Column:
-    """Hashes of the ``order`` words from each position on."""
+def _rolled(hashes: Column, order: int) -> Column:
+    """Hashes of the ``order`` words from each position on, from the words' hashes."""
     if order == 1:
-        return F.transform(words, lambda w: F.xxhash64(w))
-    n = F.greatest(F.size(words) - (order - 1), F.lit(0))
-    parts = F.arrays_zip(*(F.slice(words, i + 1, n).alias(f"w{i}") for i in range(order)))
+        return hashes
+    n = F.greatest(F.size(hashes) - (order - 1), F.lit(0))
+    if order == 2:
+        return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 2, n), lambda a, b: F.xxhash64(a, b))
+    parts = F.arrays_zip(*(F.slice(hashes, i + 1, n).alias(f"w{i}") for i in range(order)))
     return F.transform(parts, lambda z: F.xxhash64(*(z[f"w{i}"] for i in range(order))))
 
 
@@ -66,14 +74,14 @@ def _words_in_repeats(hashes: Column, width: int) -> Column:
 
 
 def word_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``words`` and the base columns; a null text has no word and one empty line."""
+    """Adds ``words`` (their hashes) and the base columns; a null text has no word and one empty line."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(f"[^{WS}]"))
-    listed = docs.withColumn("words", words_of(F.col(text_col).cast("string"))).withColumn("_lines", lines)
+    lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
+    listed = docs.withColumn("words", word_hashes(F.col(text_col).cast("string"))).withColumn("_lines", lines)
     out = listed.select(
         *[c for c in listed.columns if c != "_lines"],
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         _words_in_repeats(_rolled(F.col("words"), 3), 3).cast("long").alias("n_repeat_words"),
@@ -82,8 +90,8 @@ def word_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("base_failed", failed)
 
 
-def _buckets(words: Column, orders: tuple[int, ...], buckets: int) -> Column:
-    return F.transform(F.concat(*(_rolled(words, n) for n in orders)), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+def _buckets(hashes: Column, orders: tuple[int, ...], buckets: int) -> Column:
+    return F.transform(F.concat(*(_rolled(hashes, n) for n in orders)), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
 
 
 def trusted_ids(labels: DataFrame, limit: int = TRUSTED_LIMIT) -> DataFrame:
@@ -96,20 +104,19 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, orders: tuple[int, ...] = OR
     """Log ratio of trusted to raw for each bucket, in ``UNIT``; raw covers every row of ``docs``.
 
     ``trusted`` has one column ``doc_id`` and at most ``TRUSTED_LIMIT`` rows.
-    The trusted multinomial has a Dirichlet prior with the raw one as its mean,
-    so that a small trusted set leaves ratios near zero; they are all zero if
-    no trusted document has an n-gram.
+    Raw counts are scaled to the number of trusted n-grams, and both
+    multinomials have the same symmetric Dirichlet prior, so that a ratio leaves
+    zero only as far as its counts bear it, in tables of any size.  They are all
+    zero if no trusted document has an n-gram.
     """
-    marked = docs.select("doc_id", words_of(F.col("text").cast("string")).alias("words")).join(
+    marked = docs.select("doc_id", word_hashes(F.col("text").cast("string")).alias("words")).join(
         F.broadcast(trusted.select("doc_id", F.lit(1).alias("is_trusted"))), "doc_id", "left"
     )
     grams = marked.select(F.explode(_buckets(F.col("words"), orders, buckets)).alias("bucket"), "is_trusted")
     rows = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("is_trusted").alias("good")).collect()  # at most `buckets` rows
-    n_raw, n_good, prior = sum(r["raw"] for r in rows), sum(r["good"] for r in rows), PRIOR * buckets
-    ratios = [0] * buckets
+    n_raw, n_good, ratios = sum(r["raw"] for r in rows), sum(r["good"] for r in rows), [0] * buckets
     for r in rows:
-        share = r["raw"] / n_raw
-        ratios[r["bucket"]] = round(math.log((r["good"] + prior * share) / ((n_good + prior) * share)) / UNIT)
+        ratios[r["bucket"]] = round(math.log((r["good"] + PRIOR) / (r["raw"] * n_good / n_raw + PRIOR)) / UNIT)
     return ratios
 
 

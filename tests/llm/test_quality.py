@@ -28,7 +28,7 @@ def corpus():
     for i in range(150):
         text = words(r, r.randrange(60, 200))
         if i % 5 == 4:
-            text = " ".join(x + r.choice(["###", "&&&", "$$$"]) for x in text.split())
+            text = " ".join(x + r.choice(["###", "&&&", "$$$"]) for x in words(r, 100, 4).split())  # junk that recurs
         rows.append((i, text.replace(" e", "\ne") if i % 2 else text))
     rows += [(500 + i, t) for i, t in enumerate(odd_texts())] + [(600, "a b c " * 40), (601, "same line\n" * 30 + words(r, 60)), (602, " ".join(["x"] * 3 + [str(i) for i in range(60)]))]
     return rows + [(3, rows[3][1]), (None, rows[5][1]), (700, "a b c d a b c e a b"), (701, "p q r s p q r s t q r s")]
