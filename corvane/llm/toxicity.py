@@ -15,6 +15,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +70,7 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(trigram, n)`` over every whole text: at most 64**3 rows."""
 
     def run(batches):
-        total = np.zeros(SYMBOLS**3, dtype=np.int64)
+        total, held, waiting = np.zeros(SYMBOLS**3, dtype=np.int64), [], 0
         for batch in batches:
             for text in batch.column(0):
                 s = _symbols(text.as_py() or "")
@@ -77,7 +78,13 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     part = s[max(0, at - 2) : at + (1 << 20)]
                     part = np.concatenate([[0, 0], part]) if not at else part
                     part = np.concatenate([part, [0]]) if at + (1 << 20) >= len(s) else part
-                    total += np.bincount(part[:-2] * SYMBOLS**2 + part[1:-1] * SYMBOLS + part[2:], minlength=SYMBOLS**3)
+                    held.append(part[:-2] * SYMBOLS**2 + part[1:-1] * SYMBOLS + part[2:])
+                    waiting += len(part)
+                    if waiting >= 1 << 20:  # one count for many texts
+                        total += np.bincount(np.concatenate(held), minlength=SYMBOLS**3)
+                        held, waiting = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=SYMBOLS**3)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["trigram", "n"])
 
@@ -215,25 +222,28 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, vocabular
 
     The character model counts all of ``docs``.  Labels come from at most
     ``rows`` ids that are not held out; without any, all scores are 0.  Of an
-    id with several labels the largest counts.
+    id with several labels the largest counts, of several texts the smallest.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "toxicity")
     counts = {r["trigram"]: r["n"] for r in character_counts(docs).collect()}  # at most 64**3 rows
     shared = spark.sparkContext.broadcast(language_model(counts))
 
-    pair = pa.struct([("word", pa.string()), ("value", pa.float64())])
-
     def run(batches):
         restorer = Restorer(shared.value)
         for batch in batches:
-            found = [[{"word": w, "value": v} for w, v in sorted(restorer.features(t.as_py()).items())] for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pair))], names=["toxic", "features"])
+            for at in range(0, batch.num_rows, 64):  # a bounded number of feature lists in memory
+                part = batch.slice(at, 64)
+                found = [sorted(restorer.features(t.as_py()).items()) for t in part.column(1)]
+                flat = [pair for values in found for pair in values]
+                pairs = pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.string()), pa.array([v for _, v in flat], pa.float64())], ["word", "value"])
+                lists = pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, found))], pa.int32()), pairs)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["toxic", "features"])
 
     usable = labels.filter("toxic in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id").cast("long")))
     ids = sample_ids(usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), rows)
     own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")  # at most `rows` ids
-    own = own.orderBy(F.xxhash64("doc_id", "text")).limit(rows)  # repeated ids stay within the bound
+    own = own.groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("row")).select("row.*")  # one row an id: within the bound
     sample = ws.save(own.select("toxic", "text").mapInArrow(run, "toxic int, features array<struct<word:string,value:double>>"), "sample")
     n, bad = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n:
