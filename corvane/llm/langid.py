@@ -158,8 +158,9 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, dimensions: int = DIMENSIONS
 
     ids = training_sample(docs, rows).select("doc_id").distinct()
     own = docs.join(F.broadcast(ids), "doc_id", "left_semi")  # at most `rows` ids
-    own = own.filter(F.col("lang").isNotNull()).orderBy(F.xxhash64("doc_id", "text")).limit(rows)  # repeated ids stay within the bound
-    sample = own.select("text", "lang").mapInArrow(run, "x binary, lang string").collect()
+    own = own.filter(F.col("lang").isNotNull()).select("doc_id", F.struct("text", "lang").alias("row"))
+    own = own.groupBy("doc_id").agg(F.min("row").alias("row"))  # one row an id: within the bound
+    sample = own.select("row.*").mapInArrow(run, "x binary, lang string").collect()
     sample.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     x = np.array([np.frombuffer(r["x"], dtype="<f4") for r in sample], dtype=np.float64).reshape(len(sample), dimensions)
     return fit_features(x, [r["lang"] for r in sample])
