@@ -111,7 +111,8 @@ def _pieces(placed: DataFrame, slots: DataFrame, block_words: int) -> DataFrame:
     begin = F.greatest(F.col("off"), F.col("block") * block_words)
     end = F.least(F.col("off") + F.col("size"), (F.col("block") + 1) * block_words)
     spans = spans.select("_row", "rank", "block", (begin - F.col("off")).alias("first"), (end - begin).alias("n"))
-    return spans.join(slots, ["rank", "block"]).select("_row", "epoch", "shard", "slot", "first", "n")
+    # slots come of few short rows, and would pass for a table to broadcast
+    return spans.join(slots.hint("merge"), ["rank", "block"]).select("_row", "epoch", "shard", "slot", "first", "n")
 
 
 def _prepared(ws: Workspace, rows: DataFrame, weights, max_epochs, block_words, shard_slots) -> tuple[DataFrame, DataFrame]:
