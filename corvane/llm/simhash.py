@@ -185,3 +185,112 @@ def near_duplicates(
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     ids = rooted.join(smallest, "root").select("fp", "component_id")
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+
+
+BANDS, BAND_ROWS = 24, 5  # a pair at Jaccard 0.8 shares no band with probability 7e-5
+JACCARD_PERCENT = 80
+SHINGLE_WORDS = 5
+PAIR_LIMIT = 32  # longer band lists are linked through pivots, round by round
+_A, _B = np.random.default_rng(11).integers(0, 2**63, (2, BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def shingle_set(text: str | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles; a short text is one shingle, a wordless one has none."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.array([], dtype=np.uint64)
+    if len(words) < shingle_words:
+        shingles = [b" ".join(words)]
+    else:
+        shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle_words)), strict=False))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(s, 42) for s in shingles], dtype=np.uint64))
+
+
+def _bands(shingles: np.ndarray) -> list[int]:
+    """One signed key a band: its number and its minhashes, hashed."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), 4096):  # bounded memory on very long texts
+        x = shingles[at : at + 4096, None]
+        y = (x ^ _B) * _A
+        least = np.minimum(least, ((y ^ (y >> np.uint64(29))) * _A).min(axis=0))
+    parts = least.reshape(BANDS, BAND_ROWS)
+    return [xxhash.xxh64_intdigest(p.tobytes(), i) - 2**63 for i, p in enumerate(parts)]
+
+
+def _signed(docs: DataFrame, row_col: str, text_col: str) -> DataFrame:
+    """``(row, node, n, bands)``; rows with equal shingle sets are one node, of ``n`` shingles."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [shingle_set(t.as_py()) for t in part.column(1)]
+                nodes = [xxhash.xxh64_intdigest(s.tobytes(), 7) - 2**63 for s in sets]
+                columns = [part.column(0), pa.array(nodes, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([_bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "node", "n", "bands"])
+
+    return docs.select(F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "row long, node long, n long, bands array<long>")
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    """``(node, shingles)`` from ``(node, text)``."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [shingle_set(t.as_py()).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", percent: int = JACCARD_PERCENT, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """``(row, component)`` for every row of ``docs``: components of five-word shingle Jaccard ``percent`` or more.
+
+    ``row_col`` numbers the rows; it must be saved, not worked out anew in each
+    scan.  Candidates share one of ``BANDS`` minhash bands; each candidate pair
+    is verified by its whole shingle sets.  Lists up to ``pair_limit`` nodes give all
+    their pairs.  In longer ones every node meets two pivots of the list; while
+    a list holds several components and the last round made links, other pivots
+    are drawn.  Rows stay in proportion to the lists, and a pair inside a long
+    list that no round's pivots join is the only one lost besides pairs without
+    a common band.
+    """
+    ws = Workspace(docs.sparkSession, "near-copies")
+    signed = ws.save(_signed(docs, row_col, text_col), "signed")
+    nodes = ws.save(signed.groupBy("node").agg(F.min("row").alias("first"), F.min("n").alias("n"), F.min_by("bands", "row").alias("bands")), "nodes")
+    posted = nodes.select("node", "n", F.explode("bands").alias("key"))
+    lists = ws.save(posted.groupBy("key").count().filter("count > 1"), "lists")
+    shared = ws.save(posted.join(lists, "key"), "shared")
+    texts = docs.select(F.col(row_col).alias("first"), F.col(text_col).cast("string").alias("text"))
+    listed = nodes.join(shared.select("node").distinct(), "node", "left_semi")
+    sets = ws.save(_sets(listed.select("node", "first").join(texts, "first")), "sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        near_in_size = F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent
+        wanted = pairs.filter(near_in_size).select("u", "v").distinct()
+        both = wanted.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(
+            sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v"
+        )
+        met = F.size(F.array_intersect("a", "b"))
+        return both.filter(met * (100 + percent) >= (F.size("a") + F.size("b")) * percent).select("u", "v")
+
+    short = shared.filter(F.col("count") <= pair_limit)
+    left, right = short.select("key", F.col("node").alias("u"), F.col("n").alias("nu")), short.select("key", F.col("node").alias("v"), F.col("n").alias("nv"))
+    links = ws.save(verified(left.join(right, "key").filter("u < v")), "links-short")
+    long = shared.filter(F.col("count") > pair_limit)
+    turn, seen = 0, not long.isEmpty()
+    rooted = lambda of: of.join(connected_components(Workspace(docs.sparkSession, "near-copies"), links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    while seen:
+        members = ws.save(rooted(long), f"members-{turn}")
+        mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+        order = F.col("node").bitwiseXOR(F.xxhash64("key", F.lit(turn)))
+        ends = members.join(mixed, "key", "left_semi").groupBy("key").agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
+        pivots = ends.select("key", F.explode(F.array("lo", "hi")).alias("end")).select("key", F.col("end").bitwiseXOR(F.xxhash64("key", F.lit(turn))).alias("pivot"))
+        known = members.select("key", F.col("node").alias("pivot"), F.col("n").alias("nv"), F.col("root").alias("other"))
+        met = members.join(pivots.join(known, ["key", "pivot"]), "key").filter("root <> other")
+        found = ws.save(verified(met.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"), F.col("n").alias("nu"), "nv")), f"links-{turn}")
+        seen, links, turn = not found.isEmpty(), links.unionByName(found), turn + 1
+    return rooted(signed.select("row", "node")).select("row", F.col("root").alias("component"))
