@@ -62,11 +62,76 @@ def reachable(edges: DataFrame, max_steps: int = 64) -> DataFrame:
     raise RuntimeError("paths did not settle")
 
 
+def _components(edges: DataFrame) -> DataFrame | None:
+    """``(txn, component)`` of strongly connected components, from ``(waiter, owner)``; transactions that are left out are alone, all are if None.
+
+    Each turn the largest of a random order's ranks travels along the edges; who
+    has the same one and reaches its holder is in the holder's component.
+    Others go on with the edges between equal ranks.  A turn takes as many
+    joins as the longest way that a rank travels.
+    """
+    left, found, turn = edges.filter("waiter <> owner").distinct().checkpoint(), None, 0
+    while True:
+        waiters, owners = left.select(F.col("waiter").alias("owner")).distinct(), left.select(F.col("owner").alias("waiter")).distinct()
+        left = left.join(waiters, "owner", "left_semi").join(owners, "waiter", "left_semi").select("waiter", "owner").checkpoint()
+        if left.isEmpty():
+            return found
+        ranks = left.select(F.col("waiter").alias("txn")).union(left.select("owner")).distinct()
+        ranks = ranks.select("txn", F.struct(F.xxhash64("txn", F.lit(turn)).alias("h"), F.col("txn").alias("t")).alias("rank")).checkpoint()
+        while True:
+            came = left.join(ranks.withColumnRenamed("txn", "waiter"), "waiter").groupBy(F.col("owner").alias("txn")).agg(F.max("rank").alias("came"))
+            after = ranks.join(came, "txn", "left").select("txn", F.greatest("rank", "came").alias("rank"), (F.col("came") > F.col("rank")).alias("moved")).checkpoint()
+            ranks = after.select("txn", "rank")
+            if after.filter("moved").isEmpty():
+                break
+        own = left.join(ranks.select(F.col("txn").alias("waiter"), F.col("rank").alias("r")), "waiter").join(ranks.select(F.col("txn").alias("owner"), "rank"), "owner")
+        left = own.filter("r = rank").select("waiter", "owner").checkpoint()
+        reach = front = ranks.filter("txn = rank.t").select("txn").checkpoint()
+        while not front.isEmpty():
+            back = left.join(front.withColumnRenamed("txn", "owner"), "owner", "left_semi").select(F.col("waiter").alias("txn")).distinct()
+            front = back.join(reach, "txn", "left_anti").checkpoint()
+            reach = reach.union(front).checkpoint()
+        piece = ranks.join(reach, "txn", "left_semi").select("txn", F.col("rank.t").alias("component")).checkpoint()
+        found, turn = piece if found is None else found.union(piece), turn + 1
+        left = without_transactions(left, reach)
+
+
 def deadlocked(edges: DataFrame) -> DataFrame:
-    """``(txn)`` of transactions that wait, through others, for themselves."""
-    core = on_cycles(edges)
-    inner = edges.join(core.withColumnRenamed("txn", "waiter"), "waiter", "left_semi").join(core.withColumnRenamed("txn", "owner"), "owner", "left_semi")
-    return reachable(inner).filter("txn = reached").select("txn").distinct()
+    """``(txn)`` of transactions that wait, through others, for themselves.
+
+    Transactions that wait for one other only are followed by pointer doubling:
+    a ring or an open chain of any length takes a logarithmic number of joins
+    with tables as long as the chain.  Only those that wait for several, with
+    chains between them taken as edges, go through ``_components``; a chain is
+    on a cycle from the first place where such an edge of one component enters.
+    The session must have a checkpoint folder.
+    """
+    edges = edges.select("waiter", "owner").filter("waiter is not null and owner is not null").distinct().checkpoint()
+    alone = edges.filter("waiter = owner").select(F.col("waiter").alias("txn"))
+    between = edges.filter("waiter <> owner")
+    degree = between.groupBy("waiter").agg(F.count("*").alias("n"), F.min("owner").alias("owner")).checkpoint()
+    jump = degree.filter("n = 1").select(F.col("waiter").alias("txn"), F.col("owner").alias("to")).checkpoint()
+    jumps, single = [jump], jump.select("txn")
+    for _ in range(jump.count().bit_length()):  # then every jump is longer than any chain
+        onward = jump.select(F.col("txn").alias("to"), F.col("to").alias("further"))
+        jump = jump.join(onward, "to", "left").select("txn", F.coalesce("further", "to").alias("to")).checkpoint()
+        jumps.append(jump)
+    rings = jump.select(F.col("to").alias("txn")).distinct().join(single, "txn", "left_semi")
+    several = degree.filter("n > 1").select("waiter")
+    ways = between.join(several, "waiter", "left_semi").join(jump.withColumnRenamed("txn", "owner"), "owner", "left")
+    ways = ways.select("waiter", "owner", F.coalesce("to", "owner").alias("end")).join(several.withColumnRenamed("waiter", "end"), "end", "left_semi").checkpoint()
+    if ways.isEmpty():
+        return rings.union(alone).distinct()
+    parts = _components(ways.select("waiter", F.col("end").alias("owner")))
+    if parts is None:
+        inside = ways.filter("waiter = end")
+    else:
+        ends = ways.join(parts.select(F.col("txn").alias("waiter"), F.col("component").alias("a")), "waiter", "left")
+        inside = ends.join(parts.select(F.col("txn").alias("end"), F.col("component").alias("b")), "end", "left").filter("waiter = end or a = b")
+    marked = inside.select(F.explode(F.array("waiter", "owner", "end")).alias("txn")).distinct().checkpoint()
+    for jump in jumps:  # on along the chains
+        marked = marked.union(jump.join(marked, "txn", "left_semi").select(F.col("to").alias("txn"))).distinct().checkpoint()
+    return rings.union(alone).union(marked).distinct()
 
 
 def without_transactions(edges: DataFrame, gone: DataFrame) -> DataFrame:
