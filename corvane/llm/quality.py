@@ -1,11 +1,12 @@
 """Quality rules: word statistics and a hashed n-gram log-likelihood ratio.
 
 Two multinomials over hashed word n-grams are compared: a trusted one (texts
-labelled good, a bounded sample of labels) and the raw one (every document).
+labelled good, a bounded sample of labels) and the raw one (every text); both
+count equal texts once.
 A document's score is the sum of its n-grams' log ratios divided by their
 number, in units of ``UNIT`` nats; it is kept if the score reaches a fixed
 threshold.  Everything is DataFrame functions: the raw counts are one
-aggregation over all n-grams with map-side combining into ``buckets`` rows, and
+aggregation over all n-grams of distinct texts with map-side combining into ``buckets`` rows, and
 scoring reads the ratios from an array constant, without a shuffle.
 """
 
@@ -101,18 +102,20 @@ def trusted_ids(labels: DataFrame, limit: int = TRUSTED_LIMIT) -> DataFrame:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> list[int]:
-    """Log ratio of trusted to raw for each bucket, in ``UNIT``; raw covers every row of ``docs``.
+    """Log ratio of trusted to raw for each bucket, in ``UNIT``; raw covers every text of ``docs``.
 
     ``trusted`` has one column ``doc_id`` and at most ``TRUSTED_LIMIT`` rows.
-    Raw counts are scaled to the number of trusted n-grams, and both
+    Either side counts a text once, however many rows hold it; it is trusted if
+    one of them is.  Raw counts are scaled to the number of trusted n-grams, and both
     multinomials have the same symmetric Dirichlet prior, so that a ratio leaves
     zero only as far as its counts bear it, in tables of any size.  They are all
     zero if no trusted document has an n-gram.
     """
-    marked = docs.select("doc_id", word_hashes(F.col("text").cast("string")).alias("words")).join(
+    marked = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(
         F.broadcast(trusted.select("doc_id", F.lit(1).alias("is_trusted"))), "doc_id", "left"
     )
-    grams = marked.select(F.explode(_buckets(F.col("words"), orders, buckets)).alias("bucket"), "is_trusted")
+    texts = marked.groupBy("text").agg(F.max("is_trusted").alias("is_trusted")).select(word_hashes(F.col("text")).alias("words"), "is_trusted")
+    grams = texts.select(F.explode(_buckets(F.col("words"), orders, buckets)).alias("bucket"), "is_trusted")
     rows = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("is_trusted").alias("good")).collect()  # at most `buckets` rows
     n_raw, n_good, ratios = sum(r["raw"] for r in rows), sum(r["good"] for r in rows), [0] * buckets
     for r in rows:
