@@ -190,7 +190,7 @@ def near_duplicates(
 BANDS, BAND_ROWS = 24, 5  # a pair at Jaccard 0.8 shares no band with probability 7e-5
 JACCARD_PERCENT = 80
 SHINGLE_WORDS = 5
-PAIR_LIMIT = 32  # longer band lists are linked through pivots, round by round
+PAIR_LIMIT = 32  # longer band lists are linked through pivots first
 _A, _B = np.random.default_rng(11).integers(0, 2**63, (2, BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -252,11 +252,10 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", percent:
     ``row_col`` numbers the rows; it must be saved, not worked out anew in each
     scan.  Candidates share one of ``BANDS`` minhash bands; each candidate pair
     is verified by its whole shingle sets.  Lists up to ``pair_limit`` nodes give all
-    their pairs.  In longer ones every node meets two pivots of the list; while
-    a list holds several components and the last round made links, other pivots
-    are drawn.  Rows stay in proportion to the lists, and a pair inside a long
-    list that no round's pivots join is the only one lost besides pairs without
-    a common band.
+    their pairs.  In longer ones every node meets two pivots of the list, then sixteen,
+    and at last all nodes of the list that are still in other components.  Only
+    pairs without a common band are lost.  Rows of that last step grow with the
+    square of a list where many different components share it.
     """
     ws = Workspace(docs.sparkSession, "near-copies")
     signed = ws.save(_signed(docs, row_col, text_col), "signed")
@@ -286,11 +285,17 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", percent:
     while seen:
         members = ws.save(rooted(long), f"members-{turn}")
         mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        order = F.col("node").bitwiseXOR(F.xxhash64("key", F.lit(turn)))
-        ends = members.join(mixed, "key", "left_semi").groupBy("key").agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-        pivots = ends.select("key", F.explode(F.array("lo", "hi")).alias("end")).select("key", F.col("end").bitwiseXOR(F.xxhash64("key", F.lit(turn))).alias("pivot"))
+        if turn == 2:  # what the pivots left apart: all pairs of different components
+            near, far = members.select("key", F.col("node").alias("u"), F.col("n").alias("nu"), "root"), members.select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("root").alias("other"))
+            links = links.unionByName(ws.save(verified(near.join(mixed, "key", "left_semi").join(far, "key").filter("u < v and root <> other")), "links-last"))
+            break
+        salts = [F.xxhash64("key", F.lit(turn), F.lit(i)) for i in range(8 if turn else 1)]  # few are left after the first round
+        orders = [F.col("node").bitwiseXOR(salt) for salt in salts]
+        ends = members.join(mixed, "key", "left_semi").groupBy("key").agg(*(f(o).alias(f"{f.__name__}{i}") for i, o in enumerate(orders) for f in (F.min, F.max)))
+        drawn = F.array(*(F.col(f"{f}{i}").bitwiseXOR(salt) for i, salt in enumerate(salts) for f in ("min", "max")))
+        pivots = ends.select("key", F.explode(F.array_distinct(drawn)).alias("pivot"))
         known = members.select("key", F.col("node").alias("pivot"), F.col("n").alias("nv"), F.col("root").alias("other"))
         met = members.join(pivots.join(known, ["key", "pivot"]), "key").filter("root <> other")
         found = ws.save(verified(met.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"), F.col("n").alias("nu"), "nv")), f"links-{turn}")
-        seen, links, turn = not found.isEmpty(), links.unionByName(found), turn + 1
+        links, turn = links.unionByName(found), turn + 1
     return rooted(signed.select("row", "node")).select("row", F.col("root").alias("component"))
