@@ -55,5 +55,16 @@ def _by(label):
     return out
 
 
+def test_one_row_of_each_group(spark):
+    r = rng(6)
+    text = [words(r, 80) for _ in range(12)]
+    changed = text[0].split()
+    changed[40] = "other"
+    rows = [(None, t) for t in text[:6]] + [(7, t) for t in text[6:10]] + [(3, " ".join(changed)), (3, text[10]), (9, text[6]), (8, text[11]), (8, text[11])]
+    kept = corpus_pipeline.near_duplicates_stage(spark, documents(spark, rows), "").collect()
+    want = [(None, t) for t in text[1:6]] + [(7, t) for t in text[6:10]] + [(3, " ".join(changed)), (3, text[10]), (8, text[11])]
+    assert sorted(((k["doc_id"], k["text"]) for k in kept), key=str) == sorted(want, key=str)
+
+
 def test_no_rows(spark):
     assert corpus_pipeline.near_duplicates_stage(spark, documents(spark, [(1, "a")]).limit(0), "").count() == 0
