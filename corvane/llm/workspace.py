@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,5 +74,12 @@ class Workspace:
             pass
 
 
+def own_names(df: DataFrame, *names: str) -> dict[str, str]:
+    """Names for helper columns that no column of ``df`` has, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    free = next(n for n in count() if not any(f"_{name}_{n}" in taken for name in names))
+    return {name: f"_{name}_{free}" for name in names}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

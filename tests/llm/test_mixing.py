@@ -1,8 +1,10 @@
 """Targets, permutations, and mixes of words."""
 
+import math
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from corvane.llm import mixing
@@ -82,3 +84,115 @@ def test_empty(spark):
     assert mixing.mix_takes(df).count() == 0 and mixing.mix_documents(df).count() == 0
     blank = documents(spark, [(1, None, "s"), (2, "", None)])
     assert [r["taken"] for r in mixing.mix_takes(blank).collect()] == [0, 0]
+
+
+def hashed(*values):
+    """Spark's ``xxhash64`` of longs, ints (as pairs of value and 4) and texts, signed."""
+    h = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else v[0].to_bytes(v[1], "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+        h = xxhash.xxh64_intdigest(raw, h)
+    return h - (h >> 63 << 64)
+
+
+def moved(x, n, salt):
+    for turn in range(1, mixing.ROUNDS + 1):
+        other = (hashed(salt, (turn, 4)) % n - x) % n
+        low = hashed(max(x, other), (turn, 4), salt)
+        x = other if low % 2 else x
+    return x
+
+
+def plain_takes(rows, block_words, shard_slots, seed):
+    """The mix of rows (doc_id, text, source), one slot after the other."""
+    sizes = [len(WORD.findall(t or "")) for _, t, _ in rows]
+    of = Counter()
+    for (_, _, s), n in zip(rows, sizes, strict=True):
+        of[s] += n
+    targets = plain_targets(of)
+    names = sorted(of, key=lambda s: (s is None, (s or "").encode()))
+    n_buckets = max(1, math.ceil(math.sqrt(len(rows)) / 4))
+    laid, taken = {}, [0] * len(rows)
+    for rank, s in enumerate(names):
+        key = lambda i: (hashed(rows[i][0], hashed_text(rows[i][1])) % n_buckets, rows[i][0], hashed_text(rows[i][1]))
+        laid[rank] = [(i, w) for i in sorted((i for i in range(len(rows)) if rows[i][2] == s), key=key) for w in range(sizes[i])]
+    blocks = {r: math.ceil(len(x) / block_words) for r, x in laid.items()}
+    slots = {r: round(targets[s] * blocks[r] / of[s]) if of[s] else 0 for r, s in enumerate(names)}
+    total, ends, at = sum(slots.values()), [], 0
+    for r in laid:
+        at += slots[r]
+        ends.append(at)
+    shards = Counter()
+    for i in range(total):
+        draw = hashed(i, seed) % total
+        shards[i // shard_slots, next(r for r, e in enumerate(ends) if draw < e)] += 1
+    drawn, over, out = Counter(), Counter(), []
+    for (_, r), n in sorted(shards.items()):
+        drawn[r] += n
+    for r in laid:
+        for k in range(drawn[r]):
+            number = moved(k, drawn[r], hashed((r, 4), "deal"))
+            if number >= slots[r]:
+                over[r] += 1
+            else:
+                out.append((r, number))
+        out += [(r, number) for number in range(drawn[r], slots[r])]
+    assert all(n == max(0, drawn[r] - slots[r]) for r, n in over.items())
+    for r, number in out:
+        span = min(max(drawn[r], slots[r]), 3 * blocks[r])
+        index = moved(number, span, hashed((r, 4), "blocks"))
+        block = moved(index % blocks[r], blocks[r], hashed((r, 4), (index // blocks[r], 4)))
+        for i, _ in laid[r][block * block_words : (block + 1) * block_words]:
+            taken[i] += 1
+    return taken
+
+
+def hashed_text(t):
+    return 42 if t is None else hashed(t)
+
+
+def drawn_corpus():
+    r = rng(14)
+    return [(i, words(r, r.randrange(0, 300)), "hot" if i % 3 == 0 else f"s{i % 5}") for i in range(150)] + [(400, None, "s1"), (401, "a b c", None)]
+
+
+@pytest.mark.parametrize("seed", [42, 7])
+def test_takes_against_plain_python(spark, seed):
+    rows = drawn_corpus()
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix_takes(documents(spark, rows), block_words=16, shard_slots=100, seed=seed).collect()}
+    assert [got[d] for d, _, _ in rows] == plain_takes(rows, 16, 100, seed)
+
+
+def test_the_draw_decides(spark):
+    one, other = (mixing.mix_takes(documents(spark, drawn_corpus()), block_words=16, shard_slots=100, seed=s).collect() for s in (42, 7))
+    assert sorted(map(tuple, one), key=str) != sorted(map(tuple, other), key=str)
+
+
+def test_shards_are_multinomial_draws(spark):
+    """Counts of a source scatter over the shards as those of a multinomial."""
+    plan = spark.createDataFrame([(0, 1, 30_000, 0), (1, 1, 60_000, 30_000), (3, 1, 10_000, 90_000)], "rank int, n_blocks long, n_slots long, first long")
+    counts = mixing.draw_counts(plan, 100_000, 500).collect()
+    assert sum(r["n"] for r in counts) == 100_000
+    for rank, p in ((0, 0.3), (1, 0.6), (3, 0.1)):
+        own = [r["n"] for r in counts if r["rank"] == rank]
+        chi = sum((n - 500 * p) ** 2 for n in own) / (500 * p * (1 - p))
+        assert len(own) == 200 and 150 < chi < 260
+
+
+def test_blocks_fill_shards(spark):
+    rows = drawn_corpus()
+    got = mixing.mix_blocks(documents(spark, rows), block_words=16, shard_slots=100).collect()
+    shards = Counter(s for s, _ in {(r["shard"], r["slot"]) for r in got})
+    assert all(n == 100 for s, n in shards.items() if s < max(shards)) and {r["slot"] for r in got} <= set(range(100))
+    taken = Counter()
+    for r in got:
+        taken[r["doc_id"]] += r["n"]
+    assert [taken[d] for d, _, _ in rows] == plain_takes(rows, 16, 100, 42)
+
+
+def test_repeated_ids_over_other_splits(spark):
+    r = rng(15)
+    rows = [(i % 9 if i % 2 else None, words(r, 90), f"s{i % 2}") for i in range(80)]
+    df = documents(spark, rows).withColumn("_row_0", F.lit(1)).withColumn("_take_0", F.lit(2))
+    found = [sorted(map(str, f(d).collect())) for f in (mixing.mix_takes, mixing.mix_documents) for d in (df, df.repartition(7), df.orderBy("text"))]
+    assert found[0] == found[1] == found[2] and found[3] == found[4] == found[5]
