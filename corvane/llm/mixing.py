@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .quality import WS
+from .quality import WS, let
 from .workspace import Workspace, own_names
 
 BLOCK_WORDS = 128
@@ -56,11 +56,14 @@ def permuted(index: Column, n: Column, salt: Column) -> Column:
     the pair decides whether the two change places.
     """
 
-    def swap(x, turn):
-        other = F.pmod(F.pmod(F.xxhash64(salt, turn), n) - x, n)
-        return F.when(F.xxhash64(F.greatest(x, other), turn, salt) % 2 == 0, x).otherwise(other)
+    def swap(given):
+        def turned(x, turn):
+            other = F.pmod(F.pmod(F.xxhash64(given["salt"], turn), given["n"]) - x, given["n"])
+            return F.when(F.xxhash64(F.greatest(x, other), turn, given["salt"]) % 2 == 0, x).otherwise(other)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index, swap)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), given["index"], turned)
+
+    return let(F.struct(index.alias("index"), n.alias("n"), salt.alias("salt")), swap)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -149,9 +152,14 @@ def _slots(ws: Workspace, targets: DataFrame, max_epochs: int, block_words: int,
     counts = ws.save(draw_counts(plan, all_slots, shard_slots, seed), "counts")  # a row for each shard and source
     slots = _dealt(ws, plan, counts, max_epochs, shard_slots)
     index = permuted(F.col("number"), F.col("span"), F.xxhash64("rank", F.lit("blocks")))
-    slots = slots.withColumn("index", index).withColumn("epoch", F.expr("index div n_blocks").cast("int"))
-    block = permuted(F.pmod("index", "n_blocks"), F.col("n_blocks"), F.xxhash64("rank", "epoch"))
-    return slots.select("rank", block.alias("block"), "epoch", "shard", "slot")
+
+    def place(at):
+        epoch = F.call_function("div", at, F.col("n_blocks")).cast("int")
+        block = permuted(F.pmod(at, F.col("n_blocks")), F.col("n_blocks"), F.xxhash64("rank", epoch))
+        return F.struct(block.alias("block"), epoch.alias("epoch"))
+
+    slots = slots.select("rank", "shard", "slot", F.inline(F.transform(F.array(index), place)))
+    return slots.select("rank", "block", "epoch", "shard", "slot")
 
 
 def _offsets(ws: Workspace, sized: DataFrame, targets: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once for each row."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -69,9 +69,9 @@ def _words_in_repeats(hashes: Column, width: int) -> Column:
 
     def count(h):
         order = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_let(order, covered))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(order, covered))
 
-    return _let(hashes, count)
+    return let(hashes, count)
 
 
 def word_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
