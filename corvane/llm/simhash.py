@@ -20,6 +20,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -191,6 +192,7 @@ BANDS, BAND_ROWS = 24, 5  # a pair at Jaccard 0.8 shares no band with probabilit
 JACCARD_PERCENT = 80
 SHINGLE_WORDS = 5
 PAIR_LIMIT = 32  # longer band lists are linked through pivots first
+BLOCK_SHINGLES = 1 << 20  # of one block of such a list's group
 _A, _B = np.random.default_rng(11).integers(0, 2**63, (2, BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -246,18 +248,82 @@ def _sets(rows: DataFrame) -> DataFrame:
     return rows.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
-def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", percent: int = JACCARD_PERCENT, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def _links_across(comers: pd.DataFrame, members: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links of ``comers`` to ``members`` (node, root, shingles) of other components, one for each component that they join.
+
+    The comers' shingles are an inverted index; each member looks its own up
+    and so counts what it shares with all comers at once.
+    """
+    size = comers["shingles"].map(len).to_numpy()
+    flat, of = np.concatenate(comers["shingles"].to_list()), np.repeat(np.arange(len(comers)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, of = flat[order], of[order]
+    nodes, parent, out = comers["node"].to_numpy(), {}, []
+
+    def top(x):
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    roots = comers["root"].to_numpy()
+    for node, root, own in members.itertuples(index=False):
+        lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        hit = np.flatnonzero(hi > lo)
+        if not len(hit):
+            continue
+        runs = hi[hit] - lo[hit]
+        at = np.repeat(lo[hit] - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+        shared = np.bincount(of[at], minlength=len(size))
+        for i in np.flatnonzero(shared * (100 + percent) >= (size + len(own)) * percent):
+            a, b = top(roots[i]), top(root)
+            if a != b:
+                parent[a] = b
+                out.append((min(nodes[i], node), max(nodes[i], node)))
+    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+
+def _linked_in_blocks(ws: Workspace, grouped: DataFrame, sets: DataFrame, percent: int, block_shingles: int) -> DataFrame:
+    """Links between different components inside each hub's group; ``grouped``: (hub, node, n, root).
+
+    Who is not of the hub's own component meets everyone of the group.  Both
+    sides are cut into blocks of about ``block_shingles`` shingles; a task holds
+    one block of either and gives back only links that join components.
+    """
+    grouped = ws.save(grouped, "grouped")
+    comer = F.col("root") != F.col("hub")
+    blocks = lambda n: F.ceil(F.sum(n) / F.lit(block_shingles)).cast("int")
+    cuts = grouped.groupBy("hub").agg(blocks(F.when(comer, F.col("n")).otherwise(0)).alias("s"), blocks(F.col("n")).alias("m")).filter("s > 0")
+    dealt = grouped.join(cuts, "hub").join(sets, "node")
+    own = lambda parts: F.pmod(F.xxhash64("node", F.lit(parts)), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    comers = dealt.filter(comer).select("hub", own("s").alias("s"), every("m").alias("m"), "node", "root", "shingles")
+    members = dealt.select("hub", every("s").alias("s"), own("m").alias("m"), "node", "root", "shingles")
+    members = members.toDF("hub_", "s_", "m_", "node_", "root_", "shingles_")
+
+    def run(left, right):
+        if not len(left) or not len(right):
+            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+        return _links_across(left, right[["node_", "root_", "shingles_"]], percent)
+
+    return comers.groupBy("hub", "s", "m").cogroup(members.groupBy("hub_", "s_", "m_")).applyInPandas(run, "u long, v long")
+
+
+def near_copies(
+    docs: DataFrame, row_col: str, text_col: str = "text", percent: int = JACCARD_PERCENT, pair_limit: int = PAIR_LIMIT, block_shingles: int = BLOCK_SHINGLES
+) -> DataFrame:
     """``(row, component)`` for every row of ``docs``: components of five-word shingle Jaccard ``percent`` or more.
 
     ``row_col`` numbers the rows; it must be saved, not worked out anew in each
     scan.  Candidates share one of ``BANDS`` minhash bands; each candidate pair
-    is verified by its whole shingle sets.  Lists up to ``pair_limit`` nodes give all
-    their pairs.  In longer ones every node meets two pivots of the list, then sixteen,
-    and at last all nodes of the list that are still in other components.  Only
-    pairs without a common band are lost.  Rows of that last step grow with the
-    square of a list where many different components share it.
+    is verified by its whole shingle sets.  Lists up to ``pair_limit`` nodes give
+    all their pairs.  In a longer one every node meets two pivots of the list,
+    twice; the lists that then still hold several components are compared in blocks,
+    by the component that most of a list belongs to, all that are not of it
+    against everyone.  So no list is expanded into its pairs, and only pairs
+    without a common band are lost.  Null and wordless texts are alike.
     """
-    ws = Workspace(docs.sparkSession, "near-copies")
+    spark = docs.sparkSession
+    ws = Workspace(spark, "near-copies")
     signed = ws.save(_signed(docs, row_col, text_col), "signed")
     nodes = ws.save(signed.groupBy("node").agg(F.min("row").alias("first"), F.min("n").alias("n"), F.min_by("bands", "row").alias("bands")), "nodes")
     posted = nodes.select("node", "n", F.explode("bands").alias("key"))
@@ -276,26 +342,28 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", percent:
         met = F.size(F.array_intersect("a", "b"))
         return both.filter(met * (100 + percent) >= (F.size("a") + F.size("b")) * percent).select("u", "v")
 
+    def rooted(of: DataFrame) -> DataFrame:
+        roots = connected_components(Workspace(spark, "near-copies"), links)
+        return of.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
     short = shared.filter(F.col("count") <= pair_limit)
     left, right = short.select("key", F.col("node").alias("u"), F.col("n").alias("nu")), short.select("key", F.col("node").alias("v"), F.col("n").alias("nv"))
     links = ws.save(verified(left.join(right, "key").filter("u < v")), "links-short")
     long = shared.filter(F.col("count") > pair_limit)
-    turn, seen = 0, not long.isEmpty()
-    rooted = lambda of: of.join(connected_components(Workspace(docs.sparkSession, "near-copies"), links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    while seen:
-        members = ws.save(rooted(long), f"members-{turn}")
-        mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        if turn == 2:  # what the pivots left apart: all pairs of different components
-            near, far = members.select("key", F.col("node").alias("u"), F.col("n").alias("nu"), "root"), members.select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("root").alias("other"))
-            links = links.unionByName(ws.save(verified(near.join(mixed, "key", "left_semi").join(far, "key").filter("u < v and root <> other")), "links-last"))
-            break
-        salts = [F.xxhash64("key", F.lit(turn), F.lit(i)) for i in range(8 if turn else 1)]  # few are left after the first round
-        orders = [F.col("node").bitwiseXOR(salt) for salt in salts]
-        ends = members.join(mixed, "key", "left_semi").groupBy("key").agg(*(f(o).alias(f"{f.__name__}{i}") for i, o in enumerate(orders) for f in (F.min, F.max)))
-        drawn = F.array(*(F.col(f"{f}{i}").bitwiseXOR(salt) for i, salt in enumerate(salts) for f in ("min", "max")))
-        pivots = ends.select("key", F.explode(F.array_distinct(drawn)).alias("pivot"))
-        known = members.select("key", F.col("node").alias("pivot"), F.col("n").alias("nv"), F.col("root").alias("other"))
-        met = members.join(pivots.join(known, ["key", "pivot"]), "key").filter("root <> other")
-        found = ws.save(verified(met.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"), F.col("n").alias("nu"), "nv")), f"links-{turn}")
-        links, turn = links.unionByName(found), turn + 1
+    if not long.isEmpty():
+        for turn in range(2):
+            members = ws.save(rooted(long), f"members-{turn}")
+            order = F.col("node").bitwiseXOR(F.xxhash64("key", F.lit(turn)))
+            ends = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(order).alias("a"), F.max(order).alias("b")).filter("lo <> hi")
+            drawn = F.transform(F.array("a", "b"), lambda end: end.bitwiseXOR(F.xxhash64("key", F.lit(turn))))
+            pivots = ends.select("key", F.explode(F.array_distinct(drawn)).alias("pivot"))
+            known = members.select("key", F.col("node").alias("pivot"), F.col("n").alias("nv"), F.col("root").alias("other"))
+            met = members.join(pivots.join(known, ["key", "pivot"]), "key").filter("root <> other")
+            found = ws.save(verified(met.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"), F.col("n").alias("nu"), "nv")), f"links-{turn}")
+            links = links.unionByName(found)
+        members = ws.save(rooted(long), "members")
+        held = members.groupBy("key", "root").count()
+        hubs = held.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("hub"), F.count("*").alias("roots")).filter("roots > 1")
+        grouped = members.join(hubs.select("key", "hub"), "key").select("hub", "node", "n", "root").distinct()
+        links = links.unionByName(ws.save(_linked_in_blocks(ws, grouped, sets, percent, block_shingles), "links"))
     return rooted(signed.select("row", "node")).select("row", F.col("root").alias("component"))

@@ -34,15 +34,15 @@ def corpus():
     return rows + [(1000 + i, rows[0][1]) for i in range(30)] + [(2000 + i, t) for i, t in enumerate(odd_texts())]
 
 
-@pytest.mark.parametrize("pair_limit", [simhash.PAIR_LIMIT, 4])
-def test_against_all_pairs(spark, pair_limit):
+@pytest.mark.parametrize(("pair_limit", "block_shingles"), [(simhash.PAIR_LIMIT, simhash.BLOCK_SHINGLES), (4, 2000)])
+def test_against_all_pairs(spark, pair_limit, block_shingles):
     rows = corpus()
     sets = [shingles(t) for _, t in rows]
     links = [(i, j) for i, j in combinations(range(len(rows)), 2) if near(sets[i], sets[j])]
     assert sum(len(sets[i] & sets[j]) < 0.9 * len(sets[i] | sets[j]) for i, j in links) > 100
     want = components(links, range(len(rows)))
     df = documents(spark, rows).select(F.col("doc_id").alias("row"), "text")
-    got = {r["row"]: r["component"] for r in simhash.near_copies(df, "row", pair_limit=pair_limit).collect()}
+    got = {r["row"]: r["component"] for r in simhash.near_copies(df, "row", pair_limit=pair_limit, block_shingles=block_shingles).collect()}
     assert len(got) == len(rows)
     groups = lambda label: sorted(map(sorted, _by(label).values()))
     assert groups(got) == groups({d: want[i] for i, (d, _) in enumerate(rows)})
