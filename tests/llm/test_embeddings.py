@@ -1,6 +1,7 @@
 """Embedding links against all pairs."""
 
 import math
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -55,17 +56,60 @@ def test_empty_and_alone(spark):
     assert got(df) == [(1, 0, 1, True)] and got(df.limit(0)) == []
 
 
-@pytest.mark.parametrize("cosine", [0.9, 0.95])
-def test_recall_at_the_border(cosine):
+def borders(size, cosine, n=1500):
     r = np.random.default_rng(10)
-    a = r.standard_normal((2000, 64))
+    a = r.standard_normal((n, size))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     z = r.standard_normal(a.shape)
     z -= (z * a).sum(axis=1, keepdims=True) * a
     z /= np.linalg.norm(z, axis=1, keepdims=True)
-    (bits_a, own, _), (bits_b, _, visited) = embeddings.codes(a), embeddings.codes(cosine * a + math.sqrt(1 - cosine**2) * z)
-    met = (own[:, :, None] == visited[:, None, :]).any(axis=(1, 2)) & (np.bitwise_count((bits_a ^ bits_b).view(np.uint64)) <= embeddings.SIGN_BITS)
-    assert met.mean() > 0.9
+    return a, cosine * a + math.sqrt(1 - cosine**2) * z
+
+
+@pytest.mark.parametrize("size", [8, 64, 768])
+@pytest.mark.parametrize("n_bits", [10, 16, 24])
+def test_recall_at_the_border(size, n_bits):
+    a, b = borders(size, 0.9)
+    (bits_a, own, around_a), (bits_b, other, around_b) = embeddings.codes(a, n_bits), embeddings.codes(b, n_bits)
+    met = (own[:, :, None] == around_b[:, None, :]).any(axis=(1, 2)) | (other[:, :, None] == around_a[:, None, :]).any(axis=(1, 2))
+    share = math.acos(0.9) / math.pi
+    most = 64 * share + embeddings.SIGN_SIGMAS * math.sqrt(64 * share * (1 - share))
+    assert (met & (np.bitwise_count((bits_a ^ bits_b).view(np.uint64)) <= most)).mean() > 0.98
+
+
+@pytest.mark.parametrize("n_bits", [10, 14])
+def test_chance_meetings_stay_in_proportion(n_bits):
+    r = np.random.default_rng(12)
+    x = r.standard_normal((2**n_bits, 64))
+    _, own, visited = embeddings.codes(x / np.linalg.norm(x, axis=1, keepdims=True), n_bits)
+    filed = Counter(own.ravel().tolist())
+    meetings = sum(filed[c] for c in visited.ravel().tolist()) - own.size
+    assert meetings < 4 * visited.size
+
+
+def dense(size):
+    """Groups of near copies of several widths, some at the border of others."""
+    r = np.random.default_rng(size)
+    f = lambda v: [float(np.float32(c)) for c in v]
+    rows, bases = [], [r.standard_normal(size) for _ in range(4)]
+    for base in bases:
+        length = np.linalg.norm(base) / math.sqrt(size)
+        centres = [base, base + 0.44 * length * r.standard_normal(size), base + 0.3 * length * r.standard_normal(size)]
+        for centre, spread in zip(centres, (0.05, 0.12, 0.25), strict=True):
+            rows += [f(centre + spread * length * r.standard_normal(size)) for _ in range(60)]
+    return list(enumerate(rows + rows[::7]))
+
+
+@pytest.mark.parametrize(("size", "block"), [(16, 1024), (64, 7)])
+def test_dense_groups_against_all_pairs(spark, monkeypatch, size, block):
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    rows = dense(size)
+    want = expected(rows)
+    links = sum(r[1] for r in want)
+    assert links > 20_000
+    found = got(spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA))
+    assert sum(r[1] for r in found) >= 0.999 * links and all(f[1] <= w[1] for f, w in zip(found, want, strict=True))
+    assert [f[2:] for f in found] == [w[2:] for w in want]
 
 
 def test_nearest_lattice_points():
