@@ -124,7 +124,7 @@ def design(n_bits: int, size: int, cosine: float = COSINE, probes: int = PROBES)
     ``MISSED`` of them.  The number of points that needs the fewest tables is taken.
     """
     rng = np.random.default_rng([SEED, size])
-    x = rng.standard_normal((1000, size))
+    x = rng.standard_normal((600, size))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z = rng.standard_normal(x.shape)
     z -= (z * x).sum(axis=1, keepdims=True) * x
@@ -134,7 +134,7 @@ def design(n_bits: int, size: int, cosine: float = COSINE, probes: int = PROBES)
         spread = math.sqrt(2 ** (n_bits / points / 4) / (4 * math.pi))  # of a component, in units of the lattice
         scale = 1 / (spread * math.sqrt(max(size, 8)))
         met = []
-        for table, directions in enumerate(_projections(size, 6, points)):
+        for table, directions in enumerate(_projections(size, 4, points)):
             (a, around_a), (b, around_b) = (_table_cells(v, directions, scale, table, probes) for v in (x, y))
             met.append((a == b) | (around_a == b[:, None]).any(axis=1) | (around_b == a[:, None]).any(axis=1))
         chance = min(max(np.mean(met), 1e-4), 1 - 1e-9)

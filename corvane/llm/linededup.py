@@ -1,12 +1,15 @@
 """Line deduplication over levelled, sorted runs of line hashes.
 
-The store of seen lines is a set of runs: tables of ``(h1, h2, n_docs, last_doc)``
-sorted by hash.  Batches of documents arrive from the largest ids down.  A new
-batch is merge-anti-joined with the runs: lines that no run holds enter with
-their owner, the largest id of the batch that has them; lines that a run holds
-only add to its count.  Both make the batch's own run at level 0.  When a level
-has ``FANOUT`` runs they are compacted into one run of the next level, so each
-hash is rewritten a logarithmic number of times.
+The store of seen lines is a set of runs: tables of ``(h1, h2, n_docs, owner)``,
+bucketed and sorted by hash, so that they are joined and merged as they lie,
+without an exchange.  Batches of documents arrive from the largest ids down, each
+about twice as large as the one before, so that all batches together read the store
+a few times only.  A new batch is merge-anti-joined with the runs: lines
+that no run holds enter with their owner, the largest id of the batch that has
+them; lines that a run holds have an owner already and only add to its count.
+Both make the batch's own run at level 0.  When a level has ``FANOUT`` runs they are
+merged into one run of the next level, so each hash is rewritten a
+logarithmic number of times.
 
 A line of a text is then dropped when the merged runs count its key in at
 least ``min_docs`` documents and its owner is another, larger id.
@@ -14,18 +17,21 @@ least ``min_docs`` documents and its owner is another, larger id.
 
 from __future__ import annotations
 
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, own_names
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-BATCHES = 4
-FANOUT = 4
+BATCHES = 8
+FANOUT = 2
 NO_ID = -(2**63)  # stands in for a null id, which sorts below all others
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
+KEY = ["h1", "h2"]
 
 
 def lines_of(text: Column) -> Column:
@@ -49,53 +55,74 @@ def _line_hashes(text: Column, min_chars: int) -> Column:
 
 
 class LineRuns:
-    """Levelled runs in a workspace."""
+    """Levelled runs in a workspace; ``levels`` holds ``(name, run)``, the newest last."""
 
     def __init__(self, ws: Workspace, fanout: int = FANOUT):
         self.ws, self.fanout, self.levels, self.made = ws, fanout, [[]], 0
+        self.buckets = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, df: DataFrame) -> tuple[str, DataFrame]:
         self.made += 1
         name = f"run-{self.made}"
-        return name, self.ws.save(df.sortWithinPartitions("h1", "h2"), name)
+        return name, self.ws.save_bucketed(df, name, KEY, self.buckets)
+
+    def _newest_first(self) -> list[DataFrame]:
+        return [run for level in self.levels for _, run in reversed(level)]
 
     @staticmethod
     def _merge(runs: list[DataFrame]) -> DataFrame:
-        """Counts add up; the owner is the largest id."""
-        if len(runs) == 1:
-            return runs[0]
+        """Runs, the newest first, as one: counts add up, and the one owner is kept."""
         both = runs[0]
-        for run in runs[1:]:
-            both = both.unionByName(run)
-        return both.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+        for older in runs[1:]:
+            older = older.select(*KEY, F.col("n_docs").alias("n_older"), F.col("owner").alias("owner_older"))
+            joined = both.join(older, KEY, "full")
+            counts = F.coalesce("n_docs", F.lit(0)) + F.coalesce("n_older", F.lit(0))
+            both = joined.select(*KEY, counts.cast("long").alias("n_docs"), F.coalesce("owner", "owner_older").alias("owner"))
+        return both
 
     def merged(self) -> DataFrame:
-        return self._merge([df for level in self.levels for _, df in level])
+        return self._merge(self._newest_first())
 
     def add(self, lines: DataFrame) -> None:
         """``lines``: one row ``(doc_id, h1, h2)`` for each document and key, ids below those of earlier batches."""
-        own = lines.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        if any(self.levels):
-            seen = self.merged().select("h1", "h2", F.lit(True).alias("known"))
-            met = own.join(seen, ["h1", "h2"], "left")
-            # the anti-joined rows are new and own their line, the others only count
-            own = met.select("h1", "h2", "n_docs", F.when(F.col("known").isNull(), F.col("last_doc")).alias("last_doc"))
-        self.levels[0].append(self._write(own))
+        own = lines.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("owner"))
+        known = []
+        for number, run in enumerate(self._newest_first()):
+            known.append(F.col(f"known_{number}"))
+            own = own.join(run.select(*KEY, F.lit(True).alias(f"known_{number}")), KEY, "left")
+        # the anti-joined rows are new and own their line, the others only count
+        owner = F.when(F.coalesce(*known).isNull(), F.col("owner")) if known else F.col("owner")
+        self.levels[0].append(self._write(own.select(*KEY, "n_docs", owner.alias("owner"))))
         for number, level in enumerate(self.levels):
             if len(level) >= self.fanout:
                 if number + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[number + 1].append(self._write(self._merge([df for _, df in level])))
-                self.ws.drop(*(name for name, _ in level))
+                self.levels[number + 1].append(self._write(self._merge([run for _, run in reversed(level)])))
+                self.ws.drop_bucketed(*(name for name, _ in level))
                 level.clear()
 
 
-def _cuts(docs: DataFrame, batches: int) -> list[int]:
-    """Ids that split the table into about equal batches; where exactly does not matter for the result."""
-    at = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0]
+def _cuts(ids: DataFrame, batches: int) -> list[int]:
+    """Ids at which batches end, the largest first, each batch twice as large as the one before; where exactly does not matter for the result."""
+    shares = [1 - (2**i - 1) / (2**batches - 1) for i in range(1, batches)]
+    at = ids.select(F.percentile_approx("doc_id", shares, 10_000)).first()[0] if shares else []
     return sorted(set(at or []), reverse=True)
 
 
+def _without(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
+    """What is left of each text without the lines whose key has one of the hashes ``drops``, and how many lines went."""
+    table, kept, dropped = str.maketrans(UPPER, LOWER), [], []
+    for text, gone in zip(texts, drops, strict=True):
+        if gone is None:
+            kept.append(None), dropped.append(None)
+            continue
+        lost, lines = set(gone.tolist()), text.split("\n")
+        digests = (xxhash.xxh64_intdigest(line.strip(BLANKS).translate(table).encode(), 42) for line in lines)
+        left = [line for line, h in zip(lines, digests, strict=True) if h - (h >> 63 << 64) not in lost]
+        kept.append("\n".join(left)), dropped.append(len(lines) - len(left))
+    return pd.DataFrame({"kept": pd.Series(kept, dtype=object), "dropped": pd.Series(dropped, dtype="Int64")})
+
+
 def dedup_lines(
     docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -104,28 +131,34 @@ def dedup_lines(
     Each row is a document; rows that repeat an id count one by one, and all
     rows with the owner's id keep its lines.  A null id is smaller than any
     other.  Null and empty texts have one empty line, which stays.  An empty
-    table gives no rows.  Own columns with the names of results are replaced.
+    table gives no rows.  Own columns with the names of results are replaced,
+    all others stay, whatever their names.
     """
     ws = Workspace(docs.sparkSession, "lines")
-    docs = docs.drop(*({"kept_text", "n_lines", "n_dropped", "_drop", "_id", "_lines", "_left"} & set(docs.columns)))
-    doc_id = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    docs = docs.drop("kept_text", "n_lines", "n_dropped")
+    text = F.col(text_col).cast("string")
+    own = own_names(docs, "id", "digest", "drop", "left")
+    keyed = docs.withColumn(own["id"], F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn(own["digest"], F.xxhash64(text))
     cuts = _cuts(docs.select(F.col(id_col).cast("long").alias("doc_id")), batches)
     turn = F.lit(0)
     for number, cut in enumerate(cuts, 1):
         turn = F.when(F.col("doc_id") <= cut, number).otherwise(turn)
-    hashed = docs.select(doc_id.alias("doc_id"), F.explode(_line_hashes(F.col(text_col).cast("string"), min_chars)).alias("h"))
-    flat = hashed.select("doc_id", "h.h1", "h.h2", turn.alias("turn"))
-    lines = ws.save(flat, "lines", ["turn"])
+    hashed = keyed.select(F.col(own["id"]).alias("doc_id"), F.col(own["digest"]).alias("digest"), F.explode(_line_hashes(text, min_chars)).alias("h"))
+    lines = ws.save(hashed.select("doc_id", "digest", "h.h1", "h.h2", turn.alias("turn")), "lines", ["turn"])
     runs = LineRuns(ws)
     for number in range(len(cuts) + 1):
         runs.add(lines.filter(F.col("turn") == number).drop("turn"))
-    repeated = ws.save(runs.merged().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"), "repeated")
-    lost = lines.join(repeated, ["h1", "h2"]).filter(F.col("doc_id") < F.col("last_doc"))
-    drops = lost.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("h1").alias("_drop"))  # at most the lines of one id's texts
-    split = docs.withColumn("_id", doc_id).join(drops, "_id", "left").withColumn("_lines", lines_of(F.col(text_col).cast("string")))
-    # inside one document 64 bits tell its lines apart
-    stays = lambda line: ~F.array_contains(F.col("_drop"), F.xxhash64(line_key(line)))
-    left = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays))
-    out = split.withColumn("_left", left)
-    out = out.withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dropped", (F.size("_lines") - F.size("_left")).cast("long"))
-    return out.withColumn("kept_text", F.array_join("_left", "\n")).drop("_id", "_drop", "_lines", "_left")
+    repeated = ws.save(runs.merged().filter(F.col("n_docs") >= min_docs).select(*KEY, "owner"), "repeated")
+    lost = lines.join(repeated, KEY).filter(F.col("doc_id") < F.col("owner"))
+    # rows of one id and text lose the same lines; 64 bits tell the lines of one text apart
+    drops = lost.groupBy(F.col("doc_id").alias(own["id"]), F.col("digest").alias(own["digest"])).agg(F.collect_set("h1").alias(own["drop"]))
+    met = keyed.join(drops, [own["id"], own["digest"]], "left")
+    drop, left = F.col(own["drop"]), F.col(own["left"])
+    cut_down = F.pandas_udf(_without, "kept string, dropped long")
+    met = met.withColumn(own["left"], cut_down(F.when(drop.isNotNull(), F.coalesce(text, F.lit(""))), drop))
+    whole = F.coalesce(text, F.lit(""))
+    n_lines = F.length(whole) - F.length(F.translate(whole, "\n", "")) + 1
+    return met.select(
+        *docs.columns, n_lines.cast("long").alias("n_lines"), F.coalesce(left["dropped"], F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(drop.isNull(), whole).otherwise(left["kept"]).alias("kept_text"),
+    )
