@@ -1,8 +1,9 @@
 """Quality rules: word statistics and a hashed n-gram log-likelihood ratio.
 
-Two multinomials over hashed word n-grams are compared: a trusted one (texts
+Two multinomials over hashed n-grams are compared: a trusted one (texts
 labelled good, a bounded sample of labels) and the raw one (every text); both
-count equal texts once.
+count equal texts once.  The n-grams are words, pairs of words and shapes: what is
+left of a word without letters and digits, which recurs where words don't.
 A document's score is the sum of its n-grams' log ratios divided by their
 number, in units of ``UNIT`` nats; it is kept if the score reaches a fixed
 threshold.  Everything is DataFrame functions: the raw counts are one
@@ -17,11 +18,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import sample_ids
+
 WS = r"\x20\x09-\x0D"
 BLANKS = " \t\n\x0b\x0c\r"  # the same characters
 BUCKETS = 65536  # rows of the ratio table, whatever the corpus holds
 ORDERS = (1, 2)
 UNIT = 1e-4  # nats; ratios are rounded to it, so that sums are exact integers
+SHAPELESS = "".join(c for c in map(chr, range(0x250)) if c.isalnum())  # letters and digits of Latin scripts
 PRIOR = 16  # prior n-grams of either multinomial, for each bucket
 THRESHOLD = -0.1  # nats an n-gram
 TRUSTED_LIMIT = 20_000  # labels used for the trusted multinomial, by hash order
@@ -39,6 +43,11 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
 
+def shape_hashes(text: Column) -> Column:
+    """Hashes of the shapes of those words that hold more than letters and digits."""
+    return F.transform(words_of(F.translate(text, SHAPELESS, "")), lambda w: F.xxhash64(w, F.lit("shape")))
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once for each row."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -75,10 +84,10 @@ def _words_in_repeats(hashes: Column, width: int) -> Column:
 
 
 def word_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``words`` (their hashes) and the base columns; a null text has no word and one empty line."""
+    """Adds ``words`` and ``shapes`` (their hashes) and the base columns; a null text has no word and one empty line."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
-    listed = docs.withColumn("words", word_hashes(F.col(text_col).cast("string"))).withColumn("_lines", lines)
+    listed = docs.withColumn("words", word_hashes(F.col(text_col).cast("string"))).withColumn("shapes", shape_hashes(text)).withColumn("_lines", lines)
     out = listed.select(
         *[c for c in listed.columns if c != "_lines"],
         F.size("words").cast("long").alias("n_words"),
@@ -91,14 +100,14 @@ def word_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("base_failed", failed)
 
 
-def _buckets(hashes: Column, orders: tuple[int, ...], buckets: int) -> Column:
-    return F.transform(F.concat(*(_rolled(hashes, n) for n in orders)), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+def _grams(orders: tuple[int, ...]) -> Column:
+    """Hashes of the n-grams of ``words``, and ``shapes``."""
+    return F.concat(*(_rolled(F.col("words"), n) for n in orders), F.col("shapes"))
 
 
 def trusted_ids(labels: DataFrame, limit: int = TRUSTED_LIMIT) -> DataFrame:
     """At most ``limit`` distinct ids that are labelled good, in hash order."""
-    good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return sample_ids(labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct(), limit)
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> list[int]:
@@ -114,8 +123,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, orders: tuple[int, ...] = OR
     marked = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(
         F.broadcast(trusted.select("doc_id", F.lit(1).alias("is_trusted"))), "doc_id", "left"
     )
-    texts = marked.groupBy("text").agg(F.max("is_trusted").alias("is_trusted")).select(word_hashes(F.col("text")).alias("words"), "is_trusted")
-    grams = texts.select(F.explode(_buckets(F.col("words"), orders, buckets)).alias("bucket"), "is_trusted")
+    texts = marked.groupBy("text").agg(F.max("is_trusted").alias("is_trusted"))
+    texts = texts.select(word_hashes(F.col("text")).alias("words"), shape_hashes(F.col("text")).alias("shapes"), "is_trusted")
+    grams = texts.select(F.explode(_grams(orders)).alias("h"), "is_trusted").select(F.pmod("h", F.lit(buckets)).alias("bucket"), "is_trusted")
     rows = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("is_trusted").alias("good")).collect()  # at most `buckets` rows
     n_raw, n_good, ratios = sum(r["raw"] for r in rows), sum(r["good"] for r in rows), [0] * buckets
     for r in rows:
@@ -132,12 +142,12 @@ def quality_verdicts(
     kept; repeated rows are judged alike; an empty table gives no rows.  Own
     columns with the names of results are replaced, others stay.
     """
-    own = {"words", "_lines", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept", "_grams", "_sum"}
+    own = {"words", "shapes", "_lines", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept", "_grams", "_sum"}
     docs = docs.drop(*(own & set(docs.columns)))
     ratios = log_ratios(docs, trusted, orders, buckets)
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>")  # folded to one constant
-    grams = word_statistics(docs, text_col).withColumn("_grams", _buckets(F.col("words"), orders, buckets))
-    total = F.aggregate("_grams", F.lit(0).cast("long"), lambda acc, b: acc + F.get(table, b))
+    grams = word_statistics(docs, text_col).withColumn("_grams", _grams(orders))
+    total = F.aggregate("_grams", F.lit(0).cast("long"), lambda acc, h: acc + F.get(table, F.pmod(h, F.lit(buckets)).cast("int")))
     scored = grams.withColumn("_sum", total).withColumn("llr", F.col("_sum") * F.lit(UNIT) / F.greatest(F.size("_grams"), F.lit(1)))
     reached = F.col("_sum") >= F.lit(round(threshold / UNIT)) * F.size("_grams")
-    return scored.withColumn("kept", ~F.col("base_failed") & reached).drop("words", "_grams", "_sum")
+    return scored.withColumn("kept", ~F.col("base_failed") & reached).drop("words", "shapes", "_grams", "_sum")

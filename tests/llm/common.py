@@ -3,6 +3,8 @@
 import random
 import re
 
+import xxhash
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,3 +44,12 @@ def components(links, nodes):
 
 def rng(seed=0):
     return random.Random(seed)
+
+
+def hashed(*values):
+    """Spark's ``xxhash64`` of longs, ints (as pairs of value and 4) and texts, signed."""
+    h = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else v[0].to_bytes(v[1], "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+        h = xxhash.xxh64_intdigest(raw, h)
+    return h - (h >> 63 << 64)

@@ -4,12 +4,11 @@ import math
 from collections import Counter
 
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from corvane.llm import mixing
 
-from .common import WORD, documents, odd_texts, rng, words
+from .common import WORD, documents, hashed, odd_texts, rng, words
 
 
 def plain_targets(sizes):
@@ -86,15 +85,6 @@ def test_empty(spark):
     assert [r["taken"] for r in mixing.mix_takes(blank).collect()] == [0, 0]
 
 
-def hashed(*values):
-    """Spark's ``xxhash64`` of longs, ints (as pairs of value and 4) and texts, signed."""
-    h = 42
-    for v in values:
-        raw = v.encode() if isinstance(v, str) else v[0].to_bytes(v[1], "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
-        h = xxhash.xxh64_intdigest(raw, h)
-    return h - (h >> 63 << 64)
-
-
 def moved(x, n, salt):
     for turn in range(1, mixing.ROUNDS + 1):
         other = (hashed(salt, (turn, 4)) % n - x) % n

@@ -1,12 +1,13 @@
 """Base statistics against plain Python, and verdicts on planted junk."""
 
+import math
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from corvane.llm import quality
 
-from .common import WORD, documents, odd_texts, rng, words
+from .common import WORD, documents, hashed, odd_texts, rng, words
 
 
 def plain(text):
@@ -28,7 +29,7 @@ def corpus():
     for i in range(150):
         text = words(r, r.randrange(60, 200))
         if i % 5 == 4:
-            text = " ".join(x + r.choice(["###", "&&&", "$$$"]) for x in words(r, 100, 4).split())  # junk that recurs
+            text = " ".join(x + r.choice(["###", "&&&", "$$$"]) for x in text.split())
         rows.append((i, text.replace(" e", "\ne") if i % 2 else text))
     rows += [(500 + i, t) for i, t in enumerate(odd_texts())] + [(600, "a b c " * 40), (601, "same line\n" * 30 + words(r, 60)), (602, " ".join(["x"] * 3 + [str(i) for i in range(60)]))]
     return rows + [(3, rows[3][1]), (None, rows[5][1]), (700, "a b c d a b c e a b"), (701, "p q r s p q r s t q r s")]
@@ -67,3 +68,32 @@ def test_no_python_in_the_plan(spark):
     got = quality.quality_verdicts(documents(spark, corpus()), quality.trusted_ids(labels(spark)))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Exchange hash"))
+
+
+def test_ratios_against_plain_counts(spark):
+    """Buckets, counts and verdicts of the multinomials, one n-gram after the other."""
+    rows = [(d, t) for d, t in corpus() if d is not None and len(t or "") < 20_000]
+    df, buckets = documents(spark, rows), 512
+    trusted = {i for i in range(0, 150, 2) if i % 5 != 4} & {d for d, _ in rows}
+    marks = spark.createDataFrame([(i,) for i in sorted(trusted)], "doc_id long")
+
+    def grams(text):
+        w = WORD.findall(text or "")
+        h = [hashed(x) for x in w]
+        shapes = ["".join(c for c in x if c not in quality.SHAPELESS) for x in w]
+        return h + [hashed(a, b) for a, b in zip(h, h[1:], strict=False)] + [hashed(x, "shape") for x in shapes if x]
+
+    raw, good = Counter(), Counter()
+    for text in {t or "" for _, t in rows}:
+        found = [g % buckets for g in grams(text)]
+        raw.update(found)
+        if any(d in trusted and (t or "") == text for d, t in rows):
+            good.update(found)
+    share = good.total() / raw.total()
+    ratio = {b: round(math.log((good[b] + quality.PRIOR) / (n * share + quality.PRIOR)) / quality.UNIT) for b, n in raw.items()}
+    ratios = quality.log_ratios(df, marks, buckets=buckets)
+    assert ratios == [ratio.get(b, 0) for b in range(buckets)]
+    for r in quality.quality_verdicts(df, marks, buckets=buckets).collect():
+        found = [ratio[g % buckets] for g in grams(r["text"])]
+        assert abs(r["llr"] - sum(found) * quality.UNIT / max(1, len(found))) < 1e-9
+        assert r["kept"] == (not r["base_failed"] and sum(found) >= round(quality.THRESHOLD / quality.UNIT) * len(found))
