@@ -192,7 +192,7 @@ BANDS, BAND_ROWS = 24, 5  # a pair at Jaccard 0.8 shares no band with probabilit
 JACCARD_PERCENT = 80
 SHINGLE_WORDS = 5
 PAIR_LIMIT = 32  # longer band lists are linked through pivots first
-BLOCK_SHINGLES = 1 << 20  # of one block of such a list's group
+BLOCK_SHINGLES = 1 << 16  # of one block of such a list's group
 _A, _B = np.random.default_rng(11).integers(0, 2**63, (2, BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1)
 
 
