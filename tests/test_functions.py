@@ -56,6 +56,57 @@ def test_random_expression(spark):
         assert r[0] == abs(top) // w * (1 if top >= 0 else -1)
 
 
+def chained(n, rng, columns=3):
+    """A left-deep expression of ``n`` operations and its value for a row."""
+    steps = [(rng.choice("+-*"), rng.randrange(columns) if rng.random() < 0.5 else None, rng.randrange(1, 100)) for _ in range(n)]
+    expression = E.argument(0)
+    for operator, index, constant in steps:
+        expression = E.Binary.of(operator, expression, E.integer(constant) if index is None else E.argument(index))
+
+    def value(row):
+        x = row[0]
+        for operator, index, constant in steps:
+            y = constant if index is None else row[index]
+            x = signed(x + y if operator == "+" else x - y if operator == "-" else x * y)
+        return x
+
+    return expression, value
+
+
+@pytest.mark.parametrize("n", [1, 63, 65, 1000])
+def test_long_chains(spark, n):
+    rng = random.Random(n)
+    data = [tuple(rng.randrange(-(2**63), 2**63) for _ in range(3)) for _ in range(50)]
+    df = spark.createDataFrame(data, "a long, b long, _step_1 long")
+    expression, value = chained(n, rng)
+    made = E.evaluate(df, expression, "v")
+    assert made.columns == ["a", "b", "_step_1", "v"] and spark.conf.get("spark.sql.ansi.enabled") == "true"
+    assert [r["v"] for r in made.collect()] == [value(r) for r in data]
+    assert len(made._jdf.queryExecution().analyzed().toString()) < 4000 + 3000 * n
+
+
+def test_modes_inside_one_expression(spark):
+    """Sums wrap below and above a division, which still raises; casts too."""
+    df = spark.createDataFrame([(2**63 - 1, 1), (5, 3)], "a long, b long")
+    a, b = E.argument(0), E.argument(1)
+    wide = ((a + b) / b + a) * b
+    assert [r["v"] for r in E.evaluate(df, wide, "v").collect()] == [signed(-(2**63) + 2**63 - 1), (8 // 3 + 5) * 3]
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        E.evaluate(df, a / (b - b), "v").collect()
+    with pytest.raises(Exception, match="CAST_OVERFLOW"):
+        E.evaluate(df, E.cast(E.cast(a + b, E.REAL) * E.real(1e10), E.LONG) + a, "v").collect()
+    x = E.cast(a, E.REAL)
+    half = x
+    for _ in range(80):  # quotients of quotients stay linear
+        half = half / (E.real(1) + E.real(1)) + x
+    assert len(E.evaluate(df, half, "v")._jdf.queryExecution().optimizedPlan().toString()) < 300_000
+    want = 5.0
+    for _ in range(80):
+        want = want / 2 + 5.0
+    assert E.evaluate(df, half, "v").filter("a = 5").first()["v"] == want
+    assert E.evaluate(df, a + b, "b").columns == ["a", "b"]
+
+
 def test_class_floors(spark):
     floors = bits.class_floors(1024)
     assert floors == [0, 7, 15, 31, 63, 126, 253, 506, 571, 634, 697, 760, 823, 886, 949, 1012]
