@@ -26,6 +26,11 @@ def page_number(segment: Column, page: Column) -> Column:
     return F.shiftleft(segment.cast("long"), PAGE_BITS).bitwiseXOR(page.bitwiseAND(_mask(PAGE_BITS)))
 
 
+def pid_text(pid: Column) -> Column:
+    """A page number in words."""
+    return F.format_string("(segNr: %d, pageNr: %d)", segment_of(pid), page_in_segment(pid))
+
+
 def tid(page: Column, slot: Column) -> Column:
     """A record's address: 48 bits of page, 16 bits of slot."""
     return F.shiftleft(page.cast("long"), SLOT_BITS).bitwiseXOR(slot.cast("long"))
@@ -63,6 +68,12 @@ def slot_fields(value: Column) -> dict[str, Column]:
     }
 
 
+def slot_flags(value: Column) -> dict[str, Column]:
+    """``redirect`` (T is not 0xFF: the slot holds another record's address), ``redirected_to`` (S is set) and ``empty`` of a slot."""
+    parts = slot_fields(value)
+    return {"redirect": parts["t"] != 0xFF, "redirected_to": parts["s"] != 0, "empty": value == F.lit(-(1 << 56)).cast("long")}
+
+
 def class_floors(page_bytes: int = 1024) -> list[int]:
     """Least free bytes of the 16 free-space classes of a page.
 
@@ -94,14 +105,30 @@ def inventory_place(page: Column, page_bytes: int = 1024) -> tuple[Column, Colum
     return F.floor(page / F.lit(entries)).cast("long"), F.pmod(page, F.lit(entries)).cast("long")
 
 
+def inventory_page(pid: Column, segment: Column, pages: Column, page_bytes: int = 1024) -> Column:
+    """``(pid, entry)`` of the inventory page in ``segment`` that has a data page's entry; null beyond the ``pages`` that exist."""
+    page, entry = inventory_place(page_in_segment(pid), page_bytes)
+    return F.when(page_in_segment(pid) < pages, F.struct(page_number(segment, page).alias("pid"), entry.alias("entry")))
+
+
+def target_page(inventory_pid: Column, entry: Column, segment: Column, page_bytes: int = 1024) -> Column:
+    """The data page in ``segment`` that an entry of an inventory page is about."""
+    return page_number(segment, page_in_segment(inventory_pid) * (2 * page_bytes) + entry)
+
+
 def hex_dump(data: Column, width: int = 16) -> Column:
-    """An array of lines: offset, hexadecimal bytes and printable characters of a binary value."""
+    """An array of lines: offset, printable characters and hexadecimal bytes of a binary value.
+
+    A line is ``0010 : text 74 65 78 74 ``, its text padded to ``width``; bytes
+    below 0x20 and above 0x7F are shown as dots.
+    """
     starts = F.sequence(F.lit(0), F.greatest(F.octet_length(data) - 1, F.lit(0)), F.lit(width))
 
     def line(start):
         part = F.substring(data, start + 1, F.lit(width))
-        pairs = F.regexp_replace(F.hex(part), "(..)(?=.)", "$1 ")
-        shown = F.regexp_replace(F.decode(part, "ISO-8859-1"), r"[^\x20-\x7E]", ".")
-        return F.concat(F.lpad(F.lower(F.hex(start.cast("long"))), 8, "0"), F.lit("  "), F.rpad(F.lower(pairs), 3 * width - 1, " "), F.lit("  "), shown)
+        pairs = F.regexp_replace(F.hex(part), "(..)", "$1 ")
+        shown = F.regexp_replace(F.decode(part, "ISO-8859-1"), r"[^\x20-\x7F]", ".")
+        offset = F.hex(start.cast("long"))
+        return F.concat(F.lpad(offset, F.greatest(F.lit(4), F.length(offset)), F.lit("0")), F.lit(" : "), F.rpad(shown, width, " "), F.lit(" "), pairs)
 
     return F.when(F.octet_length(data) > 0, F.transform(starts, line)).otherwise(F.array().cast("array<string>"))

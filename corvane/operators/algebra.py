@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.plans.positional import at, numbered, unique_names
@@ -25,8 +26,8 @@ COMPARISONS = {
 
 
 def print_lines(df: DataFrame, column: str = "line") -> DataFrame:
-    """Each row as one line, its attributes joined by commas; write it with ``.write.text``."""
-    return df.select(F.concat_ws(",", *(at(df, i).cast("string") for i in range(len(df.columns)))).alias(column))
+    """Each row as one line, its attributes joined by commas, nulls as nothing; write it with ``.write.text``."""
+    return df.select(F.concat_ws(",", *(F.coalesce(at(df, i).cast("string"), F.lit("")) for i in range(len(df.columns)))).alias(column))
 
 
 def projection(df: DataFrame, indexes: Sequence[int]) -> DataFrame:
@@ -72,6 +73,21 @@ def sort(df: DataFrame, criteria: Sequence[tuple[int, bool]], ties: Sequence[str
     return df.orderBy(*keys, *ties)
 
 
+def placed(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """The rows of an ordered relation with their places, from 1.
+
+    The relation is written to the session's checkpoint folder once, as it is
+    ordered; a row's place is its number in its part and the rows of the parts
+    before it, of which there is one count each.
+    """
+    rows = ordered.withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
+    counts = rows.groupBy(part.alias("_part")).count()
+    ahead = counts.select("_part", (F.sum("count").over(W.orderBy("_part")) - F.col("count")).alias("_ahead"))  # one row a part
+    found = rows.withColumn("_part", part).join(F.broadcast(ahead), "_part")
+    return found.select(*(at(found, found.columns.index(c)) for c in ordered.columns), (F.col("_ahead") + inside + 1).alias(name))
+
+
 def hash_join(left: DataFrame, right: DataFrame, left_index: int, right_index: int) -> DataFrame:
     """Inner join on one pair of attributes: all attributes of ``left``, then all of ``right``."""
     a, b = numbered(left), numbered(right, len(left.columns))

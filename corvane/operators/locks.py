@@ -20,46 +20,15 @@ def lock_modes(held: DataFrame) -> DataFrame:
 
 
 def waits_for(requests: DataFrame, held: DataFrame) -> DataFrame:
-    """``(waiter, owner)``: a request waits for every other holder unless both are shared."""
-    wanted = requests.select("item", F.col("txn").alias("waiter"), F.col("mode").alias("wanted"))
-    owned = held.select("item", F.col("txn").alias("owner"), F.col("mode").alias("held"))
-    met = wanted.join(owned, "item").filter("waiter <> owner").filter("not (wanted = 'Shared' and held = 'Shared')")
-    return met.select("waiter", "owner").distinct()
-
-
-def on_cycles(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """``(txn)`` of transactions that can belong to a deadlock.
+    """``(waiter, owner)``: a request waits for every other holder unless both are shared.
 
-    Rounds take away transactions that wait for nobody and those that nobody
-    waits for, until none is left to take: what remains lies on a cycle or
-    between two.  Each round is two semi-joins; lineage is cut by a checkpoint,
-    for which the session must have a checkpoint folder.
+    Repeated locks and requests of an item are one, in the strongest mode, before they meet.
     """
-    left = edges.select("waiter", "owner").distinct().checkpoint()
-    count = left.count()
-    for _ in range(max_rounds):
-        waiters, owners = left.select(F.col("waiter").alias("owner")).distinct(), left.select(F.col("owner").alias("waiter")).distinct()
-        left = left.join(waiters, "owner", "left_semi").join(owners, "waiter", "left_semi").select("waiter", "owner").checkpoint()
-        now = left.count()
-        if now == count:
-            return left.select(F.col("waiter").alias("txn")).union(left.select(F.col("owner").alias("txn"))).distinct()
-        count = now
-    raise RuntimeError(f"edges did not settle in {max_rounds} rounds")
-
-
-def reachable(edges: DataFrame, max_steps: int = 64) -> DataFrame:
-    """``(txn, reached)``: the transitive closure, by doubling path lengths; for graphs whose closure is wanted whole."""
-    paths = edges.select(F.col("waiter").alias("txn"), F.col("owner").alias("reached")).distinct().checkpoint()
-    count = paths.count()
-    for _ in range(max_steps):
-        onward = paths.select(F.col("txn").alias("reached"), F.col("reached").alias("further"))
-        longer = paths.join(onward, "reached").select("txn", F.col("further").alias("reached"))
-        paths = paths.union(longer).distinct().checkpoint()
-        now = paths.count()
-        if now == count:
-            return paths
-        count = now
-    raise RuntimeError("paths did not settle")
+    strongest = F.max(F.when(F.col("mode") == "Shared", 0).otherwise(1))
+    wanted = requests.groupBy("item", F.col("txn").alias("waiter")).agg(strongest.alias("wanted"))
+    owned = held.groupBy("item", F.col("txn").alias("owner")).agg(strongest.alias("held"))
+    met = wanted.join(owned, "item").filter("waiter <> owner and wanted + held > 0")
+    return met.select("waiter", "owner").distinct()
 
 
 def _components(edges: DataFrame) -> DataFrame | None:
@@ -112,10 +81,12 @@ def deadlocked(edges: DataFrame) -> DataFrame:
     degree = between.groupBy("waiter").agg(F.count("*").alias("n"), F.min("owner").alias("owner")).checkpoint()
     jump = degree.filter("n = 1").select(F.col("waiter").alias("txn"), F.col("owner").alias("to")).checkpoint()
     jumps, single = [jump], jump.select("txn")
-    for _ in range(jump.count().bit_length()):  # then every jump is longer than any chain
+    for turn in range(jump.count().bit_length()):  # then every jump is longer than any chain
         onward = jump.select(F.col("txn").alias("to"), F.col("to").alias("further"))
-        jump = jump.join(onward, "to", "left").select("txn", F.coalesce("further", "to").alias("to")).checkpoint()
+        jump = jump.join(onward, "to", "left").select("txn", F.coalesce("further", "to").alias("to"))
+        jump = jump.checkpoint() if turn % 2 else jump
         jumps.append(jump)
+    jump = jump.checkpoint()
     rings = jump.select(F.col("to").alias("txn")).distinct().join(single, "txn", "left_semi")
     several = degree.filter("n > 1").select("waiter")
     ways = between.join(several, "waiter", "left_semi").join(jump.withColumnRenamed("txn", "owner"), "owner", "left")

@@ -25,9 +25,13 @@ def resized(payload: Column, size: Column) -> Column:
     return F.concat(F.substring(payload, F.lit(1), size), F.unhex(F.repeat(F.lit("00"), missing)))
 
 
-def resize(records: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Resizes the records in ``sizes`` (tid, size); addresses stay."""
-    met = records.join(sizes.select("tid", F.col("size").alias("_size")), "tid", "left")
+def resize(records: DataFrame, sizes: DataFrame, order: str | None = None) -> DataFrame:
+    """Resizes the records in ``sizes`` (tid, size); addresses stay.
+
+    Of several sizes of a record the last by ``order`` counts, or the largest.
+    """
+    last = F.max_by("size", order) if order else F.max("size")
+    met = records.join(sizes.groupBy("tid").agg(last.alias("_size")), "tid", "left")
     payload = F.when(F.col("_size").isNull(), F.col("payload")).otherwise(resized(F.col("payload"), F.col("_size")))
     return met.select("tid", payload.alias("payload"))
 

@@ -12,7 +12,7 @@ from corvane.functions import bits
 from corvane.functions import expressions as E
 from corvane.operators import algebra, keyed, locks, records
 from corvane.plans.positional import numbered
-from corvane.session import ensure_checkpoint_dir, table
+from corvane.session import ensure_checkpoint_dir, scratch_path, table
 from corvane.sources import catalog, tuples, u64
 from corvane.types import INT64, char
 
@@ -30,6 +30,7 @@ def _of(name: str, *columns: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: table(spark, sf_dir, name).select(*columns)
 
 
+#: The numbers 42, 21 and 100 of the expressions and the pairs of ``values_source`` are those of the tests that this library is held to.
 # sources and sinks ---------------------------------------------------------
 _add("scan_region", "SELECT * FROM region", lambda s, d: table(s, d, "region"))
 _add(
@@ -79,35 +80,45 @@ _add("select_kinds_differ", "SELECT c_custkey, c_mktsegment FROM customer WHERE
 
 
 # sorting -------------------------------------------------------------------
-def _ranked(df: DataFrame, *order) -> DataFrame:
-    """Row numbers of a sorted relation, a part at a time, so that the order can be compared."""
-    return df.withColumn("place", F.row_number().over(W.partitionBy("part").orderBy(*order)).cast("long"))
+def _placed(ordered: DataFrame) -> DataFrame:
+    """The sorted rows with the places that the sort itself gave them."""
+    ensure_checkpoint_dir(ordered.sparkSession)
+    return algebra.placed(ordered)
 
 
 def _sort_multi(s: SparkSession, d: str) -> DataFrame:
-    df = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_orderkey") % 64).alias("part"))
-    return _ranked(algebra.sort(df, [(2, True), (1, False)], ["l_orderkey"]), F.desc("l_suppkey"), "l_linenumber", "l_orderkey")
+    df = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return _placed(algebra.sort(df, [(2, True), (1, False)], ["l_orderkey"]))
 
 
 _add(
     "sort_multi",
-    """SELECT l_orderkey, l_linenumber, l_suppkey, l_orderkey % 64 AS part,
-       row_number() OVER (PARTITION BY l_orderkey % 64 ORDER BY l_suppkey DESC, l_linenumber, l_orderkey) AS place FROM lineitem""",
+    """SELECT l_orderkey, l_linenumber, l_suppkey, row_number() OVER (ORDER BY l_suppkey DESC, l_linenumber, l_orderkey) AS place FROM lineitem""",
     _sort_multi,
 )
 _add(
     "sort_desc_stable",
-    "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_orderkey",
-    lambda s, d: algebra.sort(_orders(s, d), [(3, True)], ["o_orderkey"]),
+    """SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, row_number() OVER (ORDER BY o_orderpriority DESC, o_orderkey) AS place FROM orders""",
+    lambda s, d: _placed(algebra.sort(_orders(s, d), [(3, True)], ["o_orderkey"])),
 )
 
 
-def _external_sort(s: SparkSession, d: str) -> DataFrame:
-    values = table(s, d, "lineitem").select(u64.as_unsigned(F.shiftleft("l_orderkey", 48) + F.col("l_partkey")).alias("value"))
-    return u64.external_sort(values)
+def _u64_values(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "lineitem").select(u64.as_unsigned(F.shiftleft("l_orderkey", 48) + F.col("l_partkey")).alias("value"))
 
 
-_add("external_sort", "SELECT ((l_orderkey % 65536)::HUGEINT * 281474976710656 + l_partkey)::DECIMAL(20, 0) AS value FROM lineitem ORDER BY value", _external_sort)
+def _u64_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Sorted values, written to files and read back, in the files' order."""
+    u64.register(s)
+    path = scratch_path(s, "u64")
+    u64.external_sort(_u64_values(s, d)).write.format("u64").mode("overwrite").save(path)
+    return _placed(s.read.format("u64").load(path))
+
+
+_SORTED_U64 = """SELECT value, row_number() OVER (ORDER BY value) AS place
+    FROM (SELECT ((l_orderkey % 65536)::HUGEINT * 281474976710656 + l_partkey)::DECIMAL(20, 0) AS value FROM lineitem)"""
+_add("external_sort", _SORTED_U64, lambda s, d: _placed(u64.external_sort(_u64_values(s, d))))
+_add("u64_round_trip", _SORTED_U64, _u64_round_trip)
 _add("u64_descending", "SELECT (1000 - range)::DECIMAL(20, 0) AS value FROM range(1000)", lambda s, d: u64.descending(s, 1000))
 
 # joins ---------------------------------------------------------------------
@@ -242,6 +253,26 @@ _add(
     f"SELECT {_KEYS}, (((42 + l_suppkey) * (21 - l_linenumber) * l_partkey + 100) // l_linenumber)::BIGINT AS v FROM lineitem",
     _value(_integers, ((E.integer(42) + _b) * (E.integer(21) - E.argument(1)) * _a + E.integer(100)) / E.argument(1)),
 )
+CHAIN = 1000
+
+
+def _chain() -> E.Expression:
+    """A left-deep expression of ``CHAIN`` operations."""
+    value = E.argument(2)
+    for i in range(1, CHAIN + 1):
+        value = value + E.argument(3) if i % 3 == 1 else value - E.argument(1) if i % 3 == 2 else value * E.integer(31)
+    return value
+
+
+_POWER = "18446744073709551616::HUGEINT"
+_add(
+    "expr_chain_i64",
+    f"""SELECT {_KEYS}, (CASE WHEN w >= 9223372036854775808::HUGEINT THEN w - {_POWER} ELSE w END)::BIGINT AS v FROM (
+        SELECT l_orderkey, l_linenumber, list_reduce(list_prepend(l_partkey::HUGEINT, range(1, {CHAIN + 1})::HUGEINT[]), lambda w, i:
+            ((CASE i % 3 WHEN 1 THEN w + l_suppkey WHEN 2 THEN w - l_linenumber ELSE w * 31 END) % {_POWER} + {_POWER}) % {_POWER}) AS w FROM lineitem)""",
+    _value(_integers, _chain()),
+)
+_add("cast_same", f"SELECT {_KEYS}, l_partkey::BIGINT AS v FROM lineitem", _value(_integers, E.cast(_a, E.LONG)))
 _add(
     "expr_complex_f64",
     f"SELECT {_KEYS}, (((42.0::DOUBLE + l_extendedprice) - (21.0::DOUBLE - l_quantity)) + l_discount) + 100.0::DOUBLE AS v FROM lineitem",
@@ -280,7 +311,8 @@ _add(
         *(c.alias(n) for n, c in bits.slot_fields(F.col("v")).items())
     ),
 )
-_FLOORS = bits.class_floors()
+#: Least free bytes of the 16 classes of a page of 1024 bytes.
+_FLOORS = [0, 7, 15, 31, 63, 126, 253, 506, 571, 634, 697, 760, 823, 886, 949, 1012]
 _LADDER = "CASE " + " ".join(f"WHEN {{0}} >= {floor} THEN {n}" for n, floor in reversed(list(enumerate(_FLOORS)))) + " END"
 _FLOOR_OF = "CASE {0} " + " ".join(f"WHEN {n} THEN {floor}" for n, floor in enumerate(_FLOORS)) + " END"
 _add(
@@ -299,26 +331,52 @@ _add(
     lambda s, d: _pages(s, d).select("l_orderkey", *(c.alias(n) for c, n in zip(bits.inventory_place(F.col("l_orderkey")), ("page", "entry"), strict=True))),
 )
 _add(
-    "hex_dump",
-    "SELECT n_nationkey, hex(n_name) AS digits FROM nation",
-    lambda s, d: table(s, d, "nation").select("n_nationkey", F.expr("hex(n_name)").alias("digits")),
+    "pid_text",
+    "SELECT l_linenumber::BIGINT * 281474976710656 + l_orderkey AS pid, '(segNr: ' || l_linenumber || ', pageNr: ' || l_orderkey || ')' AS text FROM lineitem",
+    lambda s, d: _pages(s, d).select("pid", bits.pid_text(F.col("pid")).alias("text")),
 )
 
 
-def _dump(s: SparkSession, d: str) -> DataFrame:
-    lines = F.explode(bits.hex_dump(F.col("p_name").cast("binary"))).alias("line")
-    return table(s, d, "part").select("p_partkey", lines)
+def _slots(s: SparkSession, d: str) -> DataFrame:
+    """Slots of three kinds: empty ones, such that hold another address, and such with a record (moved there if the line number is even)."""
+    own = bits.slot(F.col("l_suppkey"), F.col("l_partkey"), 0xFF, F.when(F.col("l_linenumber") % 2 == 0, 0xFF).otherwise(0))
+    empty, moved = F.lit(-(1 << 56)).cast("long"), bits.tid(F.col("l_orderkey"), F.col("l_linenumber"))
+    return _pages(s, d).select("l_orderkey", "l_linenumber", F.when(F.col("l_partkey") % 3 == 0, empty).when(F.col("l_partkey") % 3 == 1, moved).otherwise(own).alias("v"))
 
 
 _add(
-    "hex_dump_lines",
-    r"""SELECT p_partkey, lpad(lower(to_hex(i)), 8, '0') || '  ' ||
-          rpad(lower(regexp_replace(hex(substr(p_name, i + 1, 16)), '(..)', '\1 ', 'g')), 47, ' ') || '  ' ||
-          regexp_replace(substr(p_name, i + 1, 16), '[^\x20-\x7E]', '.', 'g') AS line
-        FROM (SELECT p_partkey, p_name, unnest(range(0, length(p_name), 16)) AS i FROM part)""",
-    _dump,
+    "slot_flags",
+    """SELECT l_orderkey, l_linenumber, l_partkey % 3 = 1 AS redirect, (l_partkey % 3 = 1 AND (l_orderkey >> 32) % 256 <> 0) OR (l_partkey % 3 = 2 AND l_linenumber % 2 = 0)
+       AS redirected_to, l_partkey % 3 = 0 AS empty FROM lineitem""",
+    lambda s, d: _slots(s, d).select("l_orderkey", "l_linenumber", *(c.alias(n) for n, c in bits.slot_flags(F.col("v")).items())),
 )
 
+
+def _target_pages(s: SparkSession, d: str) -> DataFrame:
+    """Each page's inventory page, if there is one, and back."""
+    at = bits.inventory_page(F.col("pid"), F.lit(9), F.lit(4000))
+    found = _pages(s, d).select("pid", F.col("l_linenumber").alias("segment"), at.alias("at")).filter("at is not null")
+    return found.select("pid", F.col("at.pid").alias("inventory"), "at.entry", bits.target_page(F.col("at.pid"), F.col("at.entry"), F.col("segment")).alias("target"))
+
+
+_add(
+    "fsi_target",
+    """SELECT l_linenumber::BIGINT * 281474976710656 + l_orderkey AS pid, 9 * 281474976710656 + l_orderkey // 2048 AS inventory, l_orderkey % 2048 AS entry,
+       l_linenumber::BIGINT * 281474976710656 + l_orderkey AS target FROM lineitem WHERE l_orderkey < 4000""",
+    _target_pages,
+)
+_DUMPED = r"""SELECT {0}, lpad(upper(to_hex(i)), 4, '0') || ' : ' || rpad(regexp_replace(substr({1}, i + 1, 16), '[^\x20-\x7F]', '.', 'g'), 16, ' ') || ' ' ||
+          regexp_replace(hex(substr({1}, i + 1, 16)), '(..)', '\1 ', 'g') AS line
+        FROM (SELECT {0}, {1}, unnest(range(0, length({1}), 16)) AS i FROM {2})"""
+
+
+def _dump(name: str, key: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: table(s, d, name).select(key, F.explode(bits.hex_dump(F.col(text).cast("binary"))).alias("line"))
+
+
+_add("hex_dump", _DUMPED.format("n_nationkey", "n_name", "nation"), _dump("nation", "n_nationkey", "n_name"))
+_add("hex_dump_lines", _DUMPED.format("p_partkey", "p_name", "part"), _dump("part", "p_partkey", "p_name"))
+
 # keyed access --------------------------------------------------------------
 _map = _of("orders", "o_orderkey", "o_custkey")
 _add("btree_lookup", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 7", lambda s, d: keyed.lookup(_map(s, d), "o_orderkey", 7))
@@ -417,6 +475,41 @@ _add(
 )
 
 
+def _database(s: SparkSession, d: str) -> catalog.Database:
+    """A stored catalog, opened anew, whose nations are one insert, in the order of their keys."""
+    root = scratch_path(s, "catalog")
+    catalog.Database(s, root).load_new_schema(catalog.LIGHT_RETAIL)
+    db = catalog.Database(s, root)
+    db.load_schema()
+    nations = table(s, d, "nation").select(F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string"), F.lit("none").alias("c"))
+    db.insert("nation", nations.repartitionByRange(1, nations["n_nationkey"].cast("int")).sortWithinPartitions(F.col("n_nationkey").cast("int")))
+    return db
+
+
+_add("catalog_store", f"SELECT * FROM (VALUES {_CATALOG}) t(table_id, position, column_id, kind, length, in_key)", lambda s, d: _database(s, d).schema.describe(s))
+_add(
+    "record_allocate",
+    """SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS tid, n_nationkey, rpad(n_name, 25, ' ') AS n_name, n_regionkey, rpad('none', 152, ' ') AS n_comment FROM nation
+       UNION ALL SELECT 281474976710656, 99, rpad('Atlantis', 25, ' '), 9, rpad('', 152, ' ')""",
+    lambda s, d: _allocated(s, d),
+)
+
+
+def _allocated(s: SparkSession, d: str) -> DataFrame:
+    """All records by the addresses that two inserts gave back."""
+    db = _database(s, d)
+    given = db.table("nation").select("tid")
+    more = db.insert("nation", s.createDataFrame([("99", "Atlantis", "9", "")], "a string, b string, c string, d string").coalesce(1))
+    return db.table("nation").join(given.union(more).distinct(), "tid")
+
+
+_add(
+    "tuple_line",
+    "SELECT n_nationkey || ' | ' || rpad(n_name, 25, ' ') || ' | ' || n_regionkey || ' | ' || rpad('none', 152, ' ') AS line FROM nation ORDER BY n_nationkey LIMIT 1 OFFSET 7",
+    lambda s, d: _database(s, d).read_tuple("nation", 7),
+)
+
+
 # logs of locks and page accesses --------------------------------------------
 def _held(s: SparkSession, d: str) -> DataFrame:
     mode = F.when(F.col("event_id") % 7 == 0, F.lit("Exclusive")).otherwise(F.lit("Shared"))
@@ -443,7 +536,7 @@ _add(
 
 def _ring(s: SparkSession, d: str) -> DataFrame:
     """Customers that wait for the next of their nation; every third nation's ring is closed."""
-    c = table(s, d, "customer").select(F.col("c_custkey").alias("waiter"), F.col("c_nationkey").alias("nation")).filter("waiter <= 400")
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("waiter"), F.col("c_nationkey").alias("nation"))
     order = W.partitionBy("nation").orderBy("waiter")
     first = F.when(F.col("nation") % 3 == 0, F.first("waiter").over(order))
     return c.withColumn("owner", F.coalesce(F.lead("waiter").over(order), first)).filter("owner is not null and owner <> waiter").select("waiter", "owner")
@@ -456,8 +549,8 @@ def _deadlocked(s: SparkSession, d: str) -> DataFrame:
 
 _add(
     "deadlock_cycles",
-    """SELECT c_custkey AS txn FROM customer WHERE c_custkey <= 400 AND c_nationkey % 3 = 0
-       AND c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey <= 400 GROUP BY c_nationkey HAVING count(*) > 1)""",
+    """SELECT c_custkey AS txn FROM customer WHERE c_nationkey % 3 = 0
+       AND c_nationkey IN (SELECT c_nationkey FROM customer GROUP BY c_nationkey HAVING count(*) > 1)""",
     _deadlocked,
 )
 _add(

@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from corvane.types import char
 
-BATCH_BITS = 48  # a tid is the number of its insert, then the row's number in it
+BATCH_BITS = 48  # a tid is the number of its insert, then the row's number in it: 15 bits of partition, 33 of row
+MOST_PARTITIONS = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -97,8 +98,10 @@ class Database:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), Schema()
 
-    def load_new_schema(self, schema: Schema) -> None:
-        """Stores the schema and makes its tables, without rows."""
+    def load_new_schema(self, schema: Schema, overwrite: bool = False) -> None:
+        """Stores the schema and makes its tables, without rows; what is stored there already goes only with ``overwrite``."""
+        if not overwrite and self._exists("_schema.json"):
+            raise FileExistsError(f"{self.root} holds a schema")
         self.schema = schema
         self.spark.createDataFrame([(schema.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/_schema.json")
         for table in schema.tables.values():
@@ -112,17 +115,29 @@ class Database:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(self.schema.tables[name].struct()).parquet(f"{self.root}/{name}")
 
-    def insert(self, name: str, rows: DataFrame) -> None:
-        """Appends rows of strings; each gets an address above all earlier ones.
+    def _exists(self, name: str) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
-        Addresses hold for up to 2**15 inserts of up to 2**15 partitions.
+    def insert(self, name: str, rows: DataFrame) -> DataFrame:
+        """Appends rows of strings and returns their addresses (tid), each above all earlier ones.
+
+        Addresses hold for up to 2**15 inserts of up to 2**15 partitions; larger
+        inserts are dealt anew.  One insert at a time: of two that overlap the later fails.
         """
-        last = self.table(name).agg(F.max("tid")).first()[0]
+        stored = self.table(name)
+        last = stored.agg(F.max("tid")).first()[0]
         batch = 0 if last is None else (last >> BATCH_BITS) + 1
-        numbered = F.lit(batch << BATCH_BITS).cast("long") + F.monotonically_increasing_id()
-        typed_rows(rows, self.schema.tables[name]).select(numbered.alias("tid"), "*").write.mode("append").parquet(f"{self.root}/{name}")
+        if batch >= 1 << (63 - BATCH_BITS):
+            raise OverflowError(f"{name} has no address left for another insert; write it anew")
+        typed = typed_rows(rows, self.schema.tables[name]).coalesce(MOST_PARTITIONS)  # fewer stay as they are
+        first = F.lit(batch << BATCH_BITS).cast("long")
+        claim = f"{self.root}/_inserts/{name}-{batch}"
+        self.spark.createDataFrame([(batch,)], "batch long").coalesce(1).write.mode("errorifexists").parquet(claim)
+        typed.select((first + F.monotonically_increasing_id()).alias("tid"), "*").write.mode("append").parquet(f"{self.root}/{name}")
+        return self.table(name).filter(F.col("tid") >= batch << BATCH_BITS).filter(F.col("tid") < (batch + 1) << BATCH_BITS).select("tid")
 
     def read_tuple(self, name: str, tid: int) -> DataFrame:
-        """The record at an address as one line, its values separated by `` | ``."""
-        columns = [F.col(c.id).cast("string") for c in self.schema.tables[name].columns]
+        """The record at an address as one line, its values separated by `` | ``, nulls as nothing."""
+        columns = [F.coalesce(F.col(c.id).cast("string"), F.lit("")) for c in self.schema.tables[name].columns]
         return self.table(name).filter(F.col("tid") == tid).select(F.concat_ws(" | ", *columns).alias("line"))

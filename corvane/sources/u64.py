@@ -18,7 +18,7 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from corvane.types import U64
 
@@ -27,8 +27,14 @@ SPLIT_BYTES = 64 << 20
 BATCH_VALUES = 1 << 16
 
 
-def _resolve(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+def _resolve(path: str, default: str) -> tuple[pafs.FileSystem, str]:
+    """A path without a scheme belongs to the session's default file system, as everywhere in Spark."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        path = default.rstrip("/") + "/" + path.lstrip("/") if not default.startswith("file:") else f"file://{path}"
+    elif rest.startswith("/") and not rest.startswith("//"):
+        path = f"{scheme}://{rest}"
+    return pafs.FileSystem.from_uri(path)
 
 
 @dataclass
@@ -39,12 +45,12 @@ class _Range(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path, self.limit = options["path"], int(options.get("limit", -1))
+    def __init__(self, options: dict, default: str):
+        self.path, self.default, self.limit = options["path"], default, int(options.get("limit", -1))
         self.split = int(options.get("splitbytes", SPLIT_BYTES)) // VALUE_BYTES * VALUE_BYTES
 
     def partitions(self) -> list[_Range]:
-        files, path = _resolve(self.path)
+        files, path = _resolve(self.path, self.default)
         info = files.get_file_info(path)
         found = [info] if info.type == pafs.FileType.File else files.get_file_info(pafs.FileSelector(path))
         ranges, left = [], self.limit * VALUE_BYTES if self.limit >= 0 else None
@@ -58,7 +64,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         if partition.end <= partition.start:
             return
-        files, _ = _resolve(self.path)
+        files, _ = _resolve(self.path, self.default)
         with files.open_input_file(partition.path) as source:
             for at in range(partition.start, partition.end, BATCH_VALUES * VALUE_BYTES):
                 data = source.read_at(min(BATCH_VALUES * VALUE_BYTES, partition.end - at), at)
@@ -71,27 +77,24 @@ class _Written(WriterCommitMessage):
     name: str
 
 
-class _Writer(DataSourceWriter):
-    def __init__(self, options: dict, overwrite: bool):
-        self.path, self.overwrite = options["path"], overwrite
+class _Writer(DataSourceArrowWriter):
+    def __init__(self, options: dict, overwrite: bool, default: str):
+        self.path, self.overwrite, self.default = options["path"], overwrite, default
 
-    def write(self, rows: Iterator) -> _Written:
-        files, path = _resolve(self.path)
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        files, path = _resolve(self.path, self.default)
         context = TaskContext.get()
         name = f"part-{context.partitionId():06d}.{context.taskAttemptId()}.u64"
         files.create_dir(f"{path}/_temporary", recursive=True)
         with files.open_output_stream(f"{path}/_temporary/{name}") as out:
-            held: list[int] = []
-            for row in rows:
-                held.append(int(row[0]))
-                if len(held) == BATCH_VALUES:
-                    out.write(np.array(held, dtype="<u8").tobytes())
-                    held.clear()
-            out.write(np.array(held, dtype="<u8").tobytes())
+            for batch in iterator:
+                if batch.column(0).null_count:
+                    raise ValueError("a null is no unsigned integer")
+                out.write(batch.column(0).cast(pa.uint64()).to_numpy(zero_copy_only=False).astype("<u8").tobytes())
         return _Written(name)
 
     def commit(self, messages: list[_Written | None]) -> None:
-        files, path = _resolve(self.path)
+        files, path = _resolve(self.path, self.default)
         files.create_dir(path, recursive=True)
         if self.overwrite:
             for f in files.get_file_info(pafs.FileSelector(path)):
@@ -103,7 +106,7 @@ class _Writer(DataSourceWriter):
         self._clean(files, path)
 
     def abort(self, messages: list[_Written | None]) -> None:
-        self._clean(*_resolve(self.path))
+        self._clean(*_resolve(self.path, self.default))
 
     @staticmethod
     def _clean(files: pafs.FileSystem, path: str) -> None:
@@ -114,6 +117,8 @@ class _Writer(DataSourceWriter):
 class U64Source(DataSource):
     """Options: ``path``, ``limit`` (first values only, -1: all), ``splitBytes`` (bytes a task)."""
 
+    default_fs = "file:///"
+
     @classmethod
     def name(cls) -> str:
         return "u64"
@@ -122,14 +127,15 @@ class U64Source(DataSource):
         return "value decimal(20,0)"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+        return _Reader(self.options, self.default_fs)
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options, overwrite)
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return _Writer(self.options, overwrite, self.default_fs)
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(U64Source)
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    spark.dataSource.register(type("SessionU64Source", (U64Source,), {"default_fs": default}))
 
 
 def descending(spark: SparkSession, n: int) -> DataFrame:
@@ -149,5 +155,11 @@ def as_unsigned(value: Column) -> Column:
 
 
 def external_sort(values: DataFrame, column: str = "value") -> DataFrame:
-    """Values in ascending unsigned order; write the result to keep the order in the files' names."""
-    return values.orderBy(F.col(column).cast(U64).asc())
+    """Values in ascending unsigned order; write the result to keep the order in the files' names.
+
+    Rows travel and are sorted as signed 64-bit numbers, moved by 2**63 so that
+    their order is the unsigned one.  Other columns stay.
+    """
+    half = F.lit(str(2**63)).cast("decimal(20,0)")
+    moved = values.withColumn(column, (F.col(column).cast(U64) - half).cast("long"))
+    return moved.orderBy(F.col(column).asc()).withColumn(column, (F.col(column).cast("decimal(20,0)") + half).cast(U64))

@@ -65,6 +65,25 @@ def test_catalog_round_trip(spark, tmp_path):
     assert catalog.Schema.from_json('{"tables": [{"columns": [{}]}]}').tables["?"].columns == (catalog.Column("?"),)
 
 
+def test_catalog_is_not_overwritten_unasked(spark, tmp_path):
+    db = catalog.Database(spark, f"file://{tmp_path}/db")
+    db.load_new_schema(catalog.LIGHT_RETAIL)
+    rows = spark.createDataFrame([("1", None, "x")], "a string, b string, c string")
+    given = db.insert("region", rows).collect()
+    assert db.read_tuple("region", given[0]["tid"]).first()[0] == f"1 |  | {'x'.ljust(152)}"
+    with pytest.raises(FileExistsError):
+        db.load_new_schema(catalog.LIGHT_RETAIL)
+    db.load_new_schema(catalog.LIGHT_RETAIL, overwrite=True)
+    assert db.table("region").count() == 0
+
+
+def test_repeated_sizes(spark):
+    df = spark.createDataFrame([(1, bytearray(b"abcdef"))], "tid long, payload binary")
+    sizes = spark.createDataFrame([(1, 5, 0), (1, 2, 1)], "tid long, size int, seq int")
+    assert [bytes(r["payload"]) for r in records.resize(df, sizes, "seq").collect()] == [b"ab"]
+    assert [bytes(r["payload"]) for r in records.resize(df, sizes).collect()] == [b"abcde"]
+
+
 def test_u64_files(spark, tmp_path):
     u64.register(spark)
     path = f"file://{tmp_path}/values"

@@ -1,5 +1,6 @@
 """The algebra on small relations with known results."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -118,3 +119,19 @@ def test_set_multiplicities(spark, left, right):
     for operator in (algebra.intersect_all, algebra.except_all):
         found = Counter(r[0] for r in rows(operator(ints(spark, left), ints(spark, right))))
         assert found == Counter({k: n for k in a | b if (n := SETS[operator](a[k], b[k]))})
+
+
+def test_places_come_of_the_sort(spark):
+    from corvane.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    r = random.Random(7)
+    df = spark.createDataFrame([(r.randrange(50), i) for i in range(2000)], "k long, i long").repartition(5)
+    got = [tuple(x) for x in algebra.placed(algebra.sort(df, [(0, True)], ["i"])).collect()]
+    want = sorted(((x["k"], x["i"]) for x in df.collect()), key=lambda x: (-x[0], x[1]))
+    assert sorted(got, key=lambda x: x[2]) == [(*x, n) for n, x in enumerate(want, 1)]
+    assert algebra.placed(df.limit(0).orderBy("k")).count() == 0
+
+
+def test_print_keeps_the_places_of_nulls(spark):
+    assert [x[0] for x in algebra.print_lines(spark.createDataFrame([(1, None, 3)], "a int, b int, c int")).collect()] == ["1,,3"]

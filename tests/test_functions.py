@@ -125,7 +125,19 @@ def test_addresses(spark):
 
 
 def test_hex_dump(spark):
-    df = spark.createDataFrame([(bytearray(b"abc\x00defghijklmnopq"),), (bytearray(b""),)], "b binary")
+    df = spark.createDataFrame([(bytearray(b"abc\x00defghijklmno\x7fpq\xe9"),), (bytearray(b""),), (bytearray(range(200)),)], "b binary")
     lines = [r[0] for r in df.select(bits.hex_dump(F.col("b"))).collect()]
-    assert lines[0][0] == "00000000  61 62 63 00 64 65 66 67 68 69 6a 6b 6c 6d 6e 6f  abc.defghijklmno"
-    assert lines[0][1].startswith("00000010  70 71 ") and lines[0][1].endswith("  pq") and lines[1] == []
+    assert lines[0][0] == "0000 : abc.defghijklmno 61 62 63 00 64 65 66 67 68 69 6A 6B 6C 6D 6E 6F "
+    assert lines[0][1] == "0010 : \x7fpq." + " " * 12 + " 7F 70 71 E9 " and lines[1] == []
+    assert lines[2][11].startswith("00B0 : " + "." * 16 + " B0 ")
+
+
+def test_slot_flags_and_places(spark):
+    empty, moved, target = -(1 << 56), (5 << 16) + 3, (0xFF << 56 | 0xFF << 48 | 9 << 24 | 4) - 2**64
+    df = spark.createDataFrame([(v,) for v in (empty, moved, target)], "v long").select(*(c.alias(n) for n, c in bits.slot_flags(F.col("v")).items()))
+    assert [tuple(r) for r in df.collect()] == [(False, False, True), (True, False, False), (False, True, False)]
+    pages = spark.createDataFrame([((3 << 48) + 5000,), ((3 << 48) + 9000,)], "pid long")
+    found = pages.select("pid", bits.inventory_page(F.col("pid"), F.lit(4), F.lit(9000)).alias("at"), bits.pid_text(F.col("pid")).alias("text"))
+    found = found.withColumn("back", bits.target_page(F.col("at.pid"), F.col("at.entry"), F.lit(3))).collect()
+    assert tuple(found[0]["at"]) == ((4 << 48) + 2, 904) and found[0]["back"] == found[0]["pid"] and found[1]["at"] is None
+    assert found[0]["text"] == "(segNr: 3, pageNr: 5000)"
