@@ -170,6 +170,17 @@ class _Value:
     wraps: bool | None = None
 
 
+def _apart(column: Column, kind: str) -> Column:
+    """The column itself, in a form that keeps the steps before it apart.
+
+    A column that is named twice is not put in the place of its name, which would
+    make one deep expression again, and a lambda ends the code generated for
+    one stage, so that each step becomes a method that is small enough to be compiled.
+    """
+    twice = column.bitwiseOR(column) if kind == LONG else F.greatest(column, column)
+    return F.element_at(F.transform(F.array(twice), lambda x: x), 1)
+
+
 class _Projections:
     """A relation to which steps of a value are added, each in a projection of its own mode."""
 
@@ -190,9 +201,7 @@ class _Projections:
             self.made += 1
         self.project(value, name)
         column = F.col(name)
-        # named twice, a step stays a projection of its own; the optimizer would join steps to one deep expression again
-        apart = column.bitwiseOR(column) if value.kind == LONG else F.greatest(column, column)
-        return _Value(apart if value.depth >= DEEPEST else column, value.kind)
+        return _Value(_apart(column, value.kind) if value.depth >= DEEPEST else column, value.kind)
 
     def binary(self, node: Binary, left: _Value, right: _Value) -> _Value:
         wraps = None
