@@ -29,8 +29,8 @@ SAMPLE_ROWS = 20_000
 VOCABULARY = 400  # words of the model, those that tell most about the label
 BEGINNINGS = (5, 7)  # lengths of the beginnings of words that are features too
 OFTEN = 0.01  # share of a text's words at which a beginning's value is 1
-LEAST_DOCS = 4  # documents of the sample that must hold a word
-LEAST_RATIO = 25.0  # twice the log-likelihood ratio of a word and the label
+LEAST_DOCS = 3  # documents of the sample that must hold a word
+LEAST_RATIO = 7.0  # twice the log-likelihood ratio of a word and the label, below which it counts for chance
 THRESHOLD = 0.3
 REMEMBERED = 100_000  # spans whose restored form a worker keeps
 
@@ -42,15 +42,17 @@ LOOKS_LIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "*": "aeiou",
 }
-SUBSTITUTED, DROPPED, JOINED, BROKEN, COLLAPSED = 0.5, 8.0, 0.1, 1.0, 0.2  # costs in nats
+SUBSTITUTED, LITERAL, DROPPED, JOINED, BROKEN, COLLAPSED = 0.5, 2.0, 8.0, 0.1, 1.0, 0.2  # costs in nats
 
 _S = r"0-9@$!|+€(*"
 _L = r"[^\W\d_]"
-SPACED = re.compile(rf"(?<![^\W_])[^\W_](?:[ ._\-]{{1,2}}[^\W_]){{2,}}(?![^\W_])")
-MIXED = re.compile(rf"(?<![^\W_])(?:[{_S}]*+{_L}++[{_S}]++{_L}|[{_S}]++{_L}|{_L}++[$@]{{1,2}}+(?![$@\w]))(?:{_L}|[{_S}]++(?={_L})|[$@]{{1,2}}+(?![$@\w]))*+")
+_U = r"(?:[^\W_]|[@$!])"
+_T = rf"(?:[0-9]{{1,2}}+|[$@]{{1,2}}+|[!|+€(*])(?![{_S}\w])"  # look-alikes that end a word
+SPACED = re.compile(rf"(?<![^\W_@$!]){_U}(?:[ ._\-]{{1,2}}{_U}){{2,}}(?![^\W_@$!])")
+MIXED = re.compile(rf"(?<![^\W_])(?:[{_S}]*+{_L}++[{_S}]++{_L}|[{_S}]++{_L}|{_L}++{_T})(?:{_L}|[{_S}]++(?={_L})|{_T})*+")
 #: What a text must hold for SPACED (between blanks) and MIXED to match in it.
-MAYBE_SPACED = re.compile(r"[\W_][^\W_][ ._\-]{1,2}[^\W_](?![^\W_])")
-MAYBE_MIXED = re.compile(rf"[{_S}](?={_L})")
+MAYBE_SPACED = re.compile(rf"[\W_]{_U}[ ._\-]{{1,2}}{_U}(?![^\W_@$!])")
+MAYBE_MIXED = re.compile(rf"[{_S}](?:(?={_L})|(?<={_L}[{_S}]))")
 REPEATED = re.compile(rf"({_L})\1\1")
 WORD = re.compile(rf"{_L}+")
 
@@ -112,7 +114,7 @@ class Restorer:
     kept: dict[str, str] = field(default_factory=dict, repr=False)
 
     def lattice(self, span: str) -> list[list[tuple[str, float]]]:
-        """For each position the texts it may stand for ('' for nothing) and their costs."""
+        """For each position the texts it may stand for ('' for nothing, a look-alike for itself) and their costs."""
         steps, at = [], 0
         while at < len(span):
             c, run = span[at], 1
@@ -121,7 +123,7 @@ class Restorer:
             if c in " ._-":  # two blanks end a word, one may
                 steps.append([(" ", 0.0)] if run > 1 else [("", JOINED), (" ", BROKEN)])
             else:
-                meant = [(x, SUBSTITUTED) for x in LOOKS_LIKE[c]] + [("", DROPPED)] if c in LOOKS_LIKE else [(c, 0.0)]
+                meant = [(x, SUBSTITUTED) for x in LOOKS_LIKE[c]] + [(c, LITERAL), ("", DROPPED)] if c in LOOKS_LIKE else [(c, 0.0)]
                 steps.append(meant)
                 if run == 2:
                     steps.append(meant)
@@ -139,15 +141,19 @@ class Restorer:
             after: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (score, path) in best.items():
                 for text, cost in options:
-                    if text:
-                        c = 0 if text == " " else _NUMBER.get(text, SYMBOLS - 1)
+                    if text == " ":
+                        state, value = (b, 0), score - cost + self.log_p[a, b, 0]
+                    elif text in LOOKS_LIKE:  # itself: it ends a word, if one has begun
+                        state, value = (0, 0), score - cost + (self.log_p[a, b, 0] if b else 0.0)
+                    elif text:
+                        c = _NUMBER.get(text, SYMBOLS - 1)
                         state, value = (b, c), score - cost + self.log_p[a, b, c]
                     else:
                         state, value = (a, b), score - cost
                     if state not in after or value > after[state][0]:
                         after[state] = value, (path, text) if text else path
             best = after
-        _, path = max(((score + self.log_p[a, b, 0], path) for (a, b), (score, path) in best.items()), key=lambda x: x[0])
+        _, path = max(((score + (self.log_p[a, b, 0] if b else 0.0), path) for (a, b), (score, path) in best.items()), key=lambda x: x[0])
         letters = []
         while path:
             path, text = path
