@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import regex
 from pyspark.sql import functions as F
 
 from corvane.llm import quality
@@ -80,8 +81,8 @@ def test_ratios_against_plain_counts(spark):
     def grams(text):
         w = WORD.findall(text or "")
         h = [hashed(x) for x in w]
-        shapes = ["".join(c for c in x if c not in quality.SHAPELESS) for x in w]
-        return h + [hashed(a, b) for a, b in zip(h, h[1:], strict=False)] + [hashed(x, "shape") for x in shapes if x]
+        shapes = regex.findall(r"[^\p{L}\p{N}\x20\x09-\x0D]+", text or "")
+        return h + [hashed(a, b) for a, b in zip(h, h[1:], strict=False)] + [hashed(x, "shape") for x in shapes]
 
     raw, good = Counter(), Counter()
     for text in {t or "" for _, t in rows}:
