@@ -249,9 +249,13 @@ def _groups(ws: Workspace, classes: DataFrame, coded: DataFrame, cosine: float)
 def _near_groups(ws: Workspace, classes: DataFrame, coded: DataFrame, groups: DataFrame, facts: DataFrame, cosine: float) -> DataFrame:
     """``(u, v, cosine, angle, ru, rv, wu, wv, mu, mv)``: pairs of leaders with their radii, weights and member counts, whose groups may be linked."""
     border = math.acos(cosine)
-    placed = coded.select("node", "own", "visited").join(groups.select("node", "leader"), "node").join(facts.select("leader", "bits", "radius"), "leader")
-    columns = lambda at, side: [F.col("leader").alias(side), F.col("bits").alias("b" + side), F.col("radius").alias("r" + side), F.explode(at).alias("cell")]
-    filed, looking = placed.select(*columns("own", "u")).distinct(), placed.select(*columns("visited", "v")).distinct()
+    placed = coded.select("node", "own", "visited").join(groups.select("node", "leader"), "node")
+
+    def cells(at, side):  # a group's cells once each, before the leader's facts join them
+        known = facts.select(F.col("leader").alias(side), F.col("bits").alias("b" + side), F.col("radius").alias("r" + side))
+        return placed.select(F.col("leader").alias(side), F.explode(at).alias("cell")).distinct().join(known, side)
+
+    filed, looking = cells("own", "u"), cells("visited", "v")
     bits = F.bit_count(F.col("bu").bitwiseXOR(F.col("bv"))) <= _sign_bits(F.lit(border) + F.col("ru") + F.col("rv"))
     met = filed.join(looking, "cell").filter("u <> v").filter(bits)
     pairs = ws.save(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
