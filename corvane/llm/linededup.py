@@ -80,6 +80,11 @@ class LineRuns:
             both = joined.select(*KEY, counts.cast("long").alias("n_docs"), F.coalesce("owner", "owner_older").alias("owner"))
         return both
 
+    def drop(self) -> None:
+        """Deletes all runs."""
+        self.ws.drop_bucketed(*(name for level in self.levels for name, _ in level))
+        self.levels = [[]]
+
     def merged(self) -> DataFrame:
         return self._merge(self._newest_first())
 
@@ -152,6 +157,9 @@ def dedup_lines(
     lost = lines.join(repeated, KEY).filter(F.col("doc_id") < F.col("owner"))
     # rows of one id and text lose the same lines; 64 bits tell the lines of one text apart
     drops = lost.groupBy(F.col("doc_id").alias(own["id"]), F.col("digest").alias(own["digest"])).agg(F.collect_set("h1").alias(own["drop"]))
+    drops = ws.save(drops, "drops")
+    runs.drop()
+    ws.drop("lines", "repeated")
     met = keyed.join(drops, [own["id"], own["digest"]], "left")
     drop, left = F.col(own["drop"]), F.col(own["left"])
     cut_down = F.pandas_udf(_without, "kept string, dropped long")

@@ -222,6 +222,7 @@ def _bands(shingles: np.ndarray) -> list[int]:
 
 def _signed(docs: DataFrame, row_col: str, text_col: str) -> DataFrame:
     """``(row, node, n, bands)``; rows with equal shingle sets are one node, of ``n`` shingles."""
+    kind = docs.schema[row_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
@@ -232,7 +233,7 @@ def _signed(docs: DataFrame, row_col: str, text_col: str) -> DataFrame:
                 columns = [part.column(0), pa.array(nodes, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([_bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "node", "n", "bands"])
 
-    return docs.select(F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "row long, node long, n long, bands array<long>")
+    return docs.select(F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"row {kind}, node long, n long, bands array<long>")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -313,8 +314,8 @@ def near_copies(
 ) -> DataFrame:
     """``(row, component)`` for every row of ``docs``: components of five-word shingle Jaccard ``percent`` or more.
 
-    ``row_col`` numbers the rows; it must be saved, not worked out anew in each
-    scan.  Candidates share one of ``BANDS`` minhash bands; each candidate pair
+    ``row_col`` tells rows of different texts apart; it is read more than once, and so must
+    not hang on how the table is scanned.  Candidates share one of ``BANDS`` minhash bands; each candidate pair
     is verified by its whole shingle sets.  Lists up to ``pair_limit`` nodes give
     all their pairs.  In a longer one every node meets two pivots of the list,
     twice; the lists that then still hold several components are compared in blocks,
@@ -331,7 +332,7 @@ def near_copies(
     shared = ws.save(posted.join(lists, "key"), "shared")
     texts = docs.select(F.col(row_col).alias("first"), F.col(text_col).cast("string").alias("text"))
     listed = nodes.join(shared.select("node").distinct(), "node", "left_semi")
-    sets = ws.save(_sets(listed.select("node", "first").join(texts, "first")), "sets")
+    sets = ws.save(_sets(listed.select("node", "first").join(texts, "first").dropDuplicates(["node"])), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         near_in_size = F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent
@@ -342,8 +343,8 @@ def near_copies(
         met = F.size(F.array_intersect("a", "b"))
         return both.filter(met * (100 + percent) >= (F.size("a") + F.size("b")) * percent).select("u", "v")
 
-    def rooted(of: DataFrame) -> DataFrame:
-        roots = connected_components(Workspace(spark, "near-copies"), links)
+    def rooted(of: DataFrame, own: Workspace) -> DataFrame:
+        roots = connected_components(own, links)
         return of.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     short = shared.filter(F.col("count") <= pair_limit)
@@ -352,7 +353,7 @@ def near_copies(
     long = shared.filter(F.col("count") > pair_limit)
     if not long.isEmpty():
         for turn in range(2):
-            members = ws.save(rooted(long), f"members-{turn}")
+            members = ws.save(rooted(long, ws), f"members-{turn}")
             order = F.col("node").bitwiseXOR(F.xxhash64("key", F.lit(turn)))
             ends = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(order).alias("a"), F.max(order).alias("b")).filter("lo <> hi")
             drawn = F.transform(F.array("a", "b"), lambda end: end.bitwiseXOR(F.xxhash64("key", F.lit(turn))))
@@ -361,9 +362,13 @@ def near_copies(
             met = members.join(pivots.join(known, ["key", "pivot"]), "key").filter("root <> other")
             found = ws.save(verified(met.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"), F.col("n").alias("nu"), "nv")), f"links-{turn}")
             links = links.unionByName(found)
-        members = ws.save(rooted(long), "members")
+        members = ws.save(rooted(long, ws), "members")
         held = members.groupBy("key", "root").count()
         hubs = held.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("hub"), F.count("*").alias("roots")).filter("roots > 1")
         grouped = members.join(hubs.select("key", "hub"), "key").select("hub", "node", "n", "root").distinct()
         links = links.unionByName(ws.save(_linked_in_blocks(ws, grouped, sets, percent, block_shingles), "links"))
-    return rooted(signed.select("row", "node")).select("row", F.col("root").alias("component"))
+    last = Workspace(spark, "near-copies")
+    found = last.save(signed.select("row", "node"), "rows")
+    out = rooted(found, last).select("row", F.col("root").alias("component"))
+    ws.drop_all()
+    return out

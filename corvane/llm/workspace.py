@@ -84,6 +84,10 @@ class Workspace:
         for name in names:
             delete_path(self.spark, self.path(name))
 
+    def drop_all(self) -> None:
+        """Deletes all tables of this workspace, when no plan that is still to run reads them."""
+        delete_path(self.spark, self.root)
+
     def _close(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:
