@@ -20,7 +20,7 @@ def sample_ids(labelled: DataFrame, limit: int) -> DataFrame:
     order = F.xxhash64("doc_id", F.lit("sample"))
     n = labelled.count()
     if n > 2 * limit:
-        few = labelled.filter(F.shiftrightunsigned(order, 1) < int(min(1.0, (2 * limit + 1000) / n) * 2**63))
+        few = labelled.filter(F.shiftrightunsigned(order, 1) < min(2**63 - 1, (2 * limit + 1000) * 2**63 // n))
         if few.count() >= limit:  # but for tables where many rows share few ids
             labelled = few
     return labelled.orderBy(order, "doc_id").limit(limit)
