@@ -119,6 +119,37 @@ def test_locks(spark):
     assert pairs(locks.without_transactions(edges, spark.createDataFrame([(1,)], "txn long"))) == [(6, 2)]
 
 
+def _log(seed, rows, txns):
+    r = random.Random(seed)
+    log = [(r.randrange(5) if i % 3 else 77, r.randrange(txns), r.choice(["Shared", "Shared", "Exclusive"])) for i in range(rows)]
+    return log + [(None, 1, "Exclusive"), (1, None, "Exclusive")]
+
+
+def _met(wanted, held):
+    known = [(a, b) for a in wanted for b in held if None not in (*a, *b) and a[0] == b[0] and a[1] != b[1]]
+    return {(a[1], b[1]) for a, b in known if "Exclusive" in (a[2], b[2])}
+
+
+@pytest.mark.parametrize(("held_rows", "marks"), [(locks.HELD_ROWS, locks.MARKS), (100, locks.MARKS), (100, 20), (1 << 20, 1)])
+def test_edges_against_all_pairs(spark, held_rows, marks):
+    wanted, held = _log(1, 300, 40), _log(2, 400, 50)
+    schema = "item long, txn long, mode string"
+    edges = pairs(locks.waits_for(spark.createDataFrame(wanted, schema), spark.createDataFrame(held, schema), held_rows, marks))
+    assert edges == sorted(_met(wanted, held))
+
+
+def test_edges_are_not_shuffled(spark):
+    schema = "item long, txn string, mode string"
+    wanted, held = ([(i, str(t), m) for i, t, m in _log(seed, 200, 30) if t is not None] for seed in (3, 4))
+    a, b = spark.createDataFrame(wanted, schema), spark.createDataFrame(held, schema)
+    gone = spark.createDataFrame([("3",), ("3",), ("7",)], "txn string")
+    left = locks.waits_for_without(a, b, gone)
+    assert pairs(left) == sorted(e for e in _met(wanted, held) if not {"3", "7"} & set(e))
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Repartition") < plan.index("Join")
+    assert pairs(locks.waits_for(a, b.limit(0))) == pairs(locks.waits_for(a.limit(0), b)) == []
+
+
 def test_cache_queues(spark):
     log = [(0, i, p) for i, p in enumerate([1, 2, 3, 2, 1, 2])]
     found = {r["page"]: (r["queue"], r["at"]) for r in locks.cache_queues(spark.createDataFrame(log, "pool long, seq long, page long")).collect()}
