@@ -34,6 +34,18 @@ def test_query(spark, sql, name):
     assert canonical([tuple(r) for r in mine.collect()], mine.columns, sorted(columns)) == canonical(theirs.fetchall(), columns, sorted(columns))
 
 
+@pytest.mark.parametrize("name", ["expr_div_f64", "expr_div_zero_f64"])
+def test_odd_divisions(spark, sql, tmp_path, name):
+    odd = [None, 0.0, -0.0, 1.5, -1.5, float("nan"), float("inf"), float("-inf")]
+    rows = [(i * 8 + j, 1, a, b, b) for i, a in enumerate(odd) for j, b in enumerate(odd)]
+    schema = "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    mine = {r["l_orderkey"]: str(r["v"]) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert mine == {k: str(v) for k, _, v in con.execute(ORACLES[name]).fetchall()}
+
+
 def test_entry(spark):
     import __spark_entry__
 
