@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.operators import algebra
@@ -135,3 +136,16 @@ def test_places_come_of_the_sort(spark):
 
 def test_print_keeps_the_places_of_nulls(spark):
     assert [x[0] for x in algebra.print_lines(spark.createDataFrame([(1, None, 3)], "a int, b int, c int")).collect()] == ["1,,3"]
+
+
+def test_keys_with_many_matches_are_spread(spark):
+    left = spark.range(300).select(F.when(F.col("id") < 290, 7).when(F.col("id") < 295, F.col("id")).alias("k"), (F.col("id") % 97).alias("v"))
+    right = spark.range(400).select((F.col("id") % 50).alias("v"), F.when(F.col("id") < 390, 7).when(F.col("id") < 395, F.col("id") - 100).alias("k"))
+    found = algebra.hash_join_dup(left, right, 0, 1, block_rows=20)
+    plain = algebra.hash_join(left, right, 0, 1)
+    assert found.columns == plain.columns and found.count() == 290 * 390 + 5
+    assert found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty()
+    most = found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 290 * 390 / 8
+    texts = left.select(F.col("k").cast("string").alias("k"))
+    assert algebra.hash_join_dup(texts, right, 0, 1).isEmpty()
