@@ -50,7 +50,11 @@ def fingerprint(text: str | None, shingle_words: int = 3) -> int:
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle_words)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, 42) for s in shingles], dtype=np.uint64)
+    return _majority(np.array([digest(s, 42) for s in shingles], dtype=np.uint64))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """Signed number whose bits are set in over half the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):  # bounded memory on very long texts
         part = hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -155,6 +159,19 @@ def _heavy_links(fps: DataFrame, max_bits: int) -> DataFrame:
     return _postings(fps, FIVES).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "u long, v long")
 
 
+def _fingerprint_links(ws: Workspace, classes: DataFrame, max_bits: int, list_limit: int) -> DataFrame:
+    """``(u, v)`` links between the distinct fingerprints ``fp`` of ``classes``: all pairs of the short lists, spanning ones of longer lists."""
+    posted = _postings(classes, TRIPLES)
+    lists = ws.save(posted.groupBy("key").count().filter("count > 1"), "posting-lists")
+    short = posted.join(lists.filter(F.col("count") <= list_limit).select("key"), "key", "left_semi")
+    links = _tallied_pairs(short, max_bits)
+    longer = lists.filter(F.col("count") > list_limit).select("key")
+    if not longer.isEmpty():
+        crowded = posted.join(longer, "key", "left_semi").select("fp").distinct()
+        links = links.unionByName(_heavy_links(crowded, max_bits))
+    return links
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = MAX_BITS, list_limit: int = LIST_LIMIT
 ) -> DataFrame:
@@ -173,15 +190,7 @@ def near_duplicates(
     ws = Workspace(docs.sparkSession, "simhash")
     fps = ws.save(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
     classes = ws.save(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    posted = _postings(classes, TRIPLES)
-    lists = ws.save(posted.groupBy("key").count().filter("count > 1"), "lists")
-    short = posted.join(lists.filter(F.col("count") <= list_limit).select("key"), "key", "left_semi")
-    links = _tallied_pairs(short, max_bits)
-    longer = lists.filter(F.col("count") > list_limit).select("key")
-    if not longer.isEmpty():
-        crowded = posted.join(longer, "key", "left_semi").select("fp").distinct()
-        links = links.unionByName(_heavy_links(crowded, max_bits))
-    roots = connected_components(ws, links).select(F.col("node").alias("fp"), "root")
+    roots = connected_components(ws, _fingerprint_links(ws, classes, max_bits, list_limit)).select(F.col("node").alias("fp"), "root")
     rooted = classes.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     ids = rooted.join(smallest, "root").select("fp", "component_id")
@@ -221,7 +230,7 @@ def _bands(shingles: np.ndarray) -> list[int]:
 
 
 def _signed(docs: DataFrame, row_col: str, text_col: str) -> DataFrame:
-    """``(row, node, n, bands)``; rows with equal shingle sets are one node, of ``n`` shingles."""
+    """``(row, node, fp, n, bands)``; rows with equal shingle sets are one node, of ``n`` shingles and fingerprint ``fp``."""
     kind = docs.schema[row_col].dataType.simpleString()
 
     def run(batches):
@@ -230,10 +239,11 @@ def _signed(docs: DataFrame, row_col: str, text_col: str) -> DataFrame:
                 part = batch.slice(at, 512)
                 sets = [shingle_set(t.as_py()) for t in part.column(1)]
                 nodes = [xxhash.xxh64_intdigest(s.tobytes(), 7) - 2**63 for s in sets]
-                columns = [part.column(0), pa.array(nodes, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([_bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "node", "n", "bands"])
+                fps = pa.array(map(_majority, sets), pa.int64())
+                columns = [part.column(0), pa.array(nodes, pa.int64()), fps, pa.array(map(len, sets), pa.int64()), pa.array([_bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "node", "fp", "n", "bands"])
 
-    return docs.select(F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"row {kind}, node long, n long, bands array<long>")
+    return docs.select(F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"row {kind}, node long, fp long, n long, bands array<long>")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -309,13 +319,29 @@ def _linked_in_blocks(ws: Workspace, grouped: DataFrame, sets: DataFrame, percen
     return comers.groupBy("hub", "s", "m").cogroup(members.groupBy("hub_", "s_", "m_")).applyInPandas(run, "u long, v long")
 
 
+def _close_pairs(ws: Workspace, nodes: DataFrame, max_bits: int = MAX_BITS, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """``(u, v, nu, nv)``: pairs of nodes whose fingerprints are linked, through the first node of each fingerprint."""
+    known = nodes.filter("n > 0")
+    firsts = ws.save(known.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first")), "fingerprints")
+    linked = _fingerprint_links(ws, firsts, max_bits, list_limit).distinct()
+    a, b = (firsts.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in "uv")
+    across = linked.join(a, "u").join(b, "v").select(F.col("first_u").alias("a"), F.col("first_v").alias("b"))
+    equal = known.join(firsts, "fp").filter("node <> first.node").select(F.struct("node", "n").alias("a"), F.col("first").alias("b"))
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    return across.union(equal).select(low["node"].alias("u"), high["node"].alias("v"), low["n"].alias("nu"), high["n"].alias("nv"))
+
+
 def near_copies(
     docs: DataFrame, row_col: str, text_col: str = "text", percent: int = JACCARD_PERCENT, pair_limit: int = PAIR_LIMIT, block_shingles: int = BLOCK_SHINGLES
 ) -> DataFrame:
     """``(row, component)`` for every row of ``docs``: components of five-word shingle Jaccard ``percent`` or more.
 
     ``row_col`` tells rows of different texts apart; it is read more than once, and so must
-    not hang on how the table is scanned.  Candidates share one of ``BANDS`` minhash bands; each candidate pair
+    not hang on how the table is scanned.  SimHash comes first: fingerprints of the shingle sets, the
+    inverted index of their bytes, the count of shared bytes and the differing bits, as in
+    ``near_duplicates``; its pairs are verified by whole shingle sets and join close copies.
+    Pairs at the border differ in about ten bits, which that index can't reach, so texts of
+    different components go on to minhash lists.  Candidates there share one of ``BANDS`` minhash bands; each candidate pair
     is verified by its whole shingle sets.  Lists up to ``pair_limit`` nodes give
     all their pairs.  In a longer one every node meets two pivots of the list,
     twice; the lists that then still hold several components are compared in blocks,
@@ -326,12 +352,14 @@ def near_copies(
     spark = docs.sparkSession
     ws = Workspace(spark, "near-copies")
     signed = ws.save(_signed(docs, row_col, text_col), "signed")
-    nodes = ws.save(signed.groupBy("node").agg(F.min("row").alias("first"), F.min("n").alias("n"), F.min_by("bands", "row").alias("bands")), "nodes")
+    nodes = ws.save(signed.groupBy("node").agg(F.min("row").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min_by("bands", "row").alias("bands")), "nodes")
+    close = ws.save(_close_pairs(ws, nodes.select("node", "fp", "n")), "close")
     posted = nodes.select("node", "n", F.explode("bands").alias("key"))
     lists = ws.save(posted.groupBy("key").count().filter("count > 1"), "lists")
     shared = ws.save(posted.join(lists, "key"), "shared")
     texts = docs.select(F.col(row_col).alias("first"), F.col(text_col).cast("string").alias("text"))
-    listed = nodes.join(shared.select("node").distinct(), "node", "left_semi")
+    wanted = shared.select("node").union(close.select("u")).union(close.select("v")).distinct()
+    listed = nodes.join(wanted, "node", "left_semi")
     sets = ws.save(_sets(listed.select("node", "first").join(texts, "first").dropDuplicates(["node"])), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -347,9 +375,10 @@ def near_copies(
         roots = connected_components(own, links)
         return of.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    short = shared.filter(F.col("count") <= pair_limit)
-    left, right = short.select("key", F.col("node").alias("u"), F.col("n").alias("nu")), short.select("key", F.col("node").alias("v"), F.col("n").alias("nv"))
-    links = ws.save(verified(left.join(right, "key").filter("u < v")), "links-short")
+    links = ws.save(verified(close), "links-close")
+    short = ws.save(rooted(shared.filter(F.col("count") <= pair_limit), ws), "short")
+    left, right = (short.select("key", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("root").alias(f"r{c}")) for c in "uv")
+    links = links.unionByName(ws.save(verified(left.join(right, "key").filter("u < v and ru <> rv")), "links-short"))
     long = shared.filter(F.col("count") > pair_limit)
     if not long.isEmpty():
         for turn in range(2):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corvane.llm import simhash
+from corvane.llm.workspace import Workspace
 
 from .common import WORD, components, documents, odd_texts, rng, words
 
@@ -68,3 +69,23 @@ def test_one_row_of_each_group(spark):
 
 def test_no_rows(spark):
     assert corpus_pipeline.near_duplicates_stage(spark, documents(spark, [(1, "a")]).limit(0), "").count() == 0
+
+
+def test_close_copies_meet_by_fingerprint_bytes(spark):
+    """Long texts with a word changed are found by SimHash alone, and only by whole sets do they count."""
+    r, rows = rng(8), []
+    for base in range(20):
+        text = words(r, 1500).split()
+        rows.append((2 * base, " ".join(text)))
+        text[700] = "changed"
+        rows.append((2 * base + 1, " ".join(text)))
+    ws = Workspace(spark, "test")
+    signed = simhash._signed(documents(spark, rows), "doc_id", "text").toPandas()
+    nodes = spark.createDataFrame(signed[["node", "fp", "n"]])
+    name = dict(zip(signed["node"], signed["row"], strict=True))
+    fp = dict(zip(signed["row"], signed["fp"], strict=True))
+    want = {(i, i + 1) for i in range(0, 40, 2) if ((fp[i] ^ fp[i + 1]) & (2**64 - 1)).bit_count() <= 3}
+    found = {tuple(sorted((name[p["u"]], name[p["v"]]))) for p in simhash._close_pairs(ws, nodes).collect()}
+    assert len(want) >= 10 and found == want
+    same = spark.createDataFrame([(5, 9, 3), (7, 9, 4), (8, 8, 6), (6, -1, 0)], "node long, fp long, n long")
+    assert sorted(map(tuple, simhash._close_pairs(ws, same).collect())) == [(5, 7, 3, 4), (5, 8, 3, 6)]
