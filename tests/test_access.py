@@ -150,6 +150,16 @@ def test_edges_are_not_shuffled(spark):
     assert pairs(locks.waits_for(a, b.limit(0))) == pairs(locks.waits_for(a.limit(0), b)) == []
 
 
+def test_blocks_meet_without_copies(spark, monkeypatch):
+    monkeypatch.setattr(locks, "WANTED_ROWS", 30)
+    few, many = _log(5, 120, 30), [(i % 7 if i < 40 else 1000 + i, i, "Exclusive" if i % 3 else "Shared") for i in range(600)]  # of most owners a waiter meets few
+    wanted, held = spark.createDataFrame(few, "item int, txn int, mode string"), spark.createDataFrame(many, "item long, txn long, mode string")
+    edges = locks.waits_for(wanted, held, 50)
+    assert pairs(edges) == sorted(_met(few, many))
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") == 0 and plan.count("Generate") == 1  # lists of owners are taken apart, but no lock or request is multiplied
+
+
 def test_cache_queues(spark):
     log = [(0, i, p) for i, p in enumerate([1, 2, 3, 2, 1, 2])]
     found = {r["page"]: (r["queue"], r["at"]) for r in locks.cache_queues(spark.createDataFrame(log, "pool long, seq long, page long")).collect()}
