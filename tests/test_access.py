@@ -160,6 +160,15 @@ def test_blocks_meet_without_copies(spark, monkeypatch):
     assert plan.index("Generate") == 0 and plan.count("Generate") == 1  # lists of owners are taken apart, but no lock or request is multiplied
 
 
+def test_blocks_meet_without_transactions_that_are_gone(spark):
+    few, many = _log(6, 150, 30), _log(7, 200, 40)
+    wanted, held = (spark.createDataFrame(log, "item long, txn long, mode string") for log in (few, many))
+    edges = locks.waits_for_without(wanted, held, held.filter("txn % 4 = 0").union(wanted.filter("txn % 4 = 0")))
+    assert pairs(edges) == sorted(e for e in _met(few, many) if e[0] % 4 and e[1] % 4)
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("LeftAnti")
+
+
 def test_cache_queues(spark):
     log = [(0, i, p) for i, p in enumerate([1, 2, 3, 2, 1, 2])]
     found = {r["page"]: (r["queue"], r["at"]) for r in locks.cache_queues(spark.createDataFrame(log, "pool long, seq long, page long")).collect()}
