@@ -149,3 +149,22 @@ def test_keys_with_many_matches_are_spread(spark):
     assert most < 290 * 390 / 8
     texts = left.select(F.col("k").cast("string").alias("k"))
     assert algebra.hash_join_dup(texts, right, 0, 1).isEmpty()
+
+
+def test_rows_are_copied_as_often_for_more_of_them(spark):
+    def copied(rows):
+        a, b = (algebra.numbered(spark.range(n).select((F.col("id") % 4).alias("k"), "id"), at) for n, at in ((rows, 0), (4 * rows, 2)))
+        blocks = {r["key"]: (r["m"], r["n"]) for r in algebra._cuts(a, b, 0, 0, 20).collect()}
+        assert len(blocks) == 4 and all(m * n >= algebra.PLACES / 4 for m, n in blocks.values())
+        return max(max(x) for x in blocks.values())
+
+    assert copied(200) == copied(20_000) <= 20
+
+
+def test_files_of_many_matches_are_small(spark, tmp_path):
+    left = spark.range(3001).select((F.col("id") * 7919).alias("a"), F.lit(1).alias("k"))
+    right = spark.createDataFrame([(None, -1)] * 9, "k int, b long").union(spark.range(2003).select(F.lit(1).alias("k"), (F.col("id") * 7919).alias("b")))
+    algebra.hash_join_dup(left, right, 1, 0, block_rows=5000).write.parquet(f"{tmp_path}/met")
+    met = spark.read.parquet(f"{tmp_path}/met")
+    assert met.count() == 3001 * 2003 and met.agg(F.count_distinct("a", "b")).first()[0] == 3001 * 2003
+    assert sum(f.stat().st_size for f in (tmp_path / "met").glob("*.parquet")) < 3001 * 2003 / 2
